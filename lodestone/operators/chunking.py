@@ -131,21 +131,30 @@ def paragraph_packs(text: Column, limit: int = 400) -> Column:
     return tx.let(paras, lambda ps: _texts(ps, pack_cuts(ps, limit, 0, 0), "\n\n", False))
 
 
-def keep_chunk(content: Column, token_count: Column, chunk_type: Column, cfg: ChunkConfig = DEFAULT) -> Column:
+def keep_chunk(
+    content: Column,
+    token_count: Column,
+    chunk_type: Column,
+    cfg: ChunkConfig = DEFAULT,
+    alnum: Column | None = None,
+    unique: Column | None = None,
+) -> Column:
     """Whether a chunk is worth keeping. Tables and figures always are."""
     good = (
         token_count.between(cfg.min_tokens, cfg.max_tokens)
         & (content != "")
-        & (tx.alnum_ratio(content) >= cfg.min_alnum)
-        & (tx.unique_ratio(content) >= cfg.min_unique)
+        & ((tx.alnum_ratio(content) if alnum is None else alnum) >= cfg.min_alnum)
+        & ((tx.unique_ratio(content) if unique is None else unique) >= cfg.min_unique)
     )
     return chunk_type.isin("table", "figure") | good
 
 
-def quality_score(content: Column, token_count: Column) -> Column:
-    return F.when((content == "") | (token_count <= 0), F.lit(0.0)).otherwise(
-        token_count * tx.alnum_ratio(content) * tx.unique_ratio(content)
-    )
+def quality_score(
+    content: Column, token_count: Column, alnum: Column | None = None, unique: Column | None = None
+) -> Column:
+    alnum = tx.alnum_ratio(content) if alnum is None else alnum
+    unique = tx.unique_ratio(content) if unique is None else unique
+    return F.when((content == "") | (token_count <= 0), F.lit(0.0)).otherwise(token_count * alnum * unique)
 
 
 def content_hash(content: Column) -> Column:
@@ -255,16 +264,25 @@ def _described(array: Column) -> Column:
             c["chunk_type"].alias("chunk_type"),
             c["caption"].alias("caption"),
             c["image_key"].alias("image_key"),
+            c["alnum"].alias("alnum"),
+            c["unique"].alias("unique"),
             content_hash(c["content"]).alias("content_hash"),
-            quality_score(c["content"], c["token_count"]).alias("score"),
+            quality_score(c["content"], c["token_count"], c["alnum"], c["unique"]).alias("score"),
         ),
     )
 
 
 def finish_chunks(chunks: Column, cfg: ChunkConfig = DEFAULT) -> Column:
     """Prune, hash, de-duplicate and select the chunks of a document."""
+    chunks = F.transform(
+        chunks,
+        lambda c: c.withField("alnum", tx.alnum_ratio(c["content"])).withField("unique", tx.unique_ratio(c["content"])),
+    )
     if cfg.prune:
-        chunks = F.filter(chunks, lambda c: keep_chunk(c["content"], c["token_count"], c["chunk_type"], cfg))
+        chunks = F.filter(
+            chunks,
+            lambda c: keep_chunk(c["content"], c["token_count"], c["chunk_type"], cfg, c["alnum"], c["unique"]),
+        )
     chunks = _described(chunks)
     if cfg.dedup:
         chunks = keep_first(chunks, "content_hash")

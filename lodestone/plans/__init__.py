@@ -2,7 +2,7 @@
 
 import importlib
 
-TOPICS = ["ingest"]
+TOPICS = ["ingest", "retrieval"]
 
 
 def load_all() -> None:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodestone.functions import text as tx
 from lodestone.functions import vectors as vec
-from lodestone.operators import chunking
+from lodestone.operators import chunking, index
 from lodestone.plans.registry import view
+from lodestone.session import checkpoint_dir
 
 EPOCH = "2024-01-01 00:00:00"
 
@@ -27,6 +29,9 @@ class Views:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.dir = sf_dir
+        # A union that claims its children's partitioning breaks once adaptive execution has
+        # coalesced only some of them.
+        spark.conf.set("spark.sql.unionOutputPartitioning", "false")
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
@@ -136,30 +141,42 @@ class Views:
             .join(ready, "document_id")
             .select(
                 "chunk_id", "document_id", "workspace_id", "user_id", "content", "token_count",
-                F.lit("text").alias("chunk_type"), F.lit(None).cast("string").alias("caption"), "selected",
+                F.lit("text").alias("chunk_type"), F.lit(None).cast("string").alias("caption"), "content_hash", "selected",
             )
         )
         figures = self.figures.select(
             "chunk_id", "document_id", F.lit("web").alias("workspace_id"), F.lit(None).cast("string").alias("user_id"),
-            "content", "token_count", F.lit("figure").alias("chunk_type"), "caption", F.lit(True).alias("selected"),
+            "content", "token_count", F.lit("figure").alias("chunk_type"), "caption",
+            chunking.content_hash(F.col("content")).alias("content_hash"), F.lit(True).alias("selected"),
         )
         return text.unionByName(figures)
 
     @cached_property
-    def dense(self) -> DataFrame:
-        """Chunks that carry a dense vector."""
-        return self.corpus.where("selected").select(
-            "chunk_id", "document_id", "workspace_id", "user_id", "token_count",
-            vec.lexical_counts(F.col("content")).alias("vec"),
-        )
-
-    @cached_property
-    def visual(self) -> DataFrame:
-        """Chunks that carry a visual vector: those with an image, seen through caption and text."""
-        return self.corpus.where("chunk_type = 'figure'").select(
-            "chunk_id", "document_id", "workspace_id", "user_id", "token_count",
-            vec.lexical_counts(F.concat_ws(" ", "caption", "content")).alias("vec"),
-        )
+    def index(self) -> index.Index:
+        """Search index of the corpus, written once per application and state of the input."""
+        path = f"{checkpoint_dir(self.spark)}/index-{self.spark.sparkContext.applicationId}-{self._state()}"
+        if not self._exists(f"{path}/done/_SUCCESS"):
+            index.write(self.corpus, path)
+            self.spark.range(1).write.mode("overwrite").parquet(f"{path}/done")
+        return index.read(self.spark, path)
+
+    def _hadoop(self, path: str):
+        jvm = self.spark._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        return where, where.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _exists(self, path: str) -> bool:
+        where, fs = self._hadoop(path)
+        return fs.exists(where)
+
+    def _state(self) -> str:
+        """Fingerprint of the input files."""
+        seen = []
+        for name in ("documents", "pages"):
+            where, fs = self._hadoop(f"{self.dir}/{name}.parquet")
+            total = fs.getContentSummary(where)
+            seen.append(f"{where}:{total.getLength()}:{fs.getFileStatus(where).getModificationTime()}")
+        return hashlib.sha256("|".join(seen).encode()).hexdigest()[:16]
 
     @cached_property
     def query_vectors(self) -> DataFrame:
@@ -280,10 +297,11 @@ view("v_visual", _sparse("(SELECT * FROM v_corpus WHERE chunk_type = 'figure')",
 
 def cosine_sql(queries: str, vectors: str) -> str:
     return f"""
-SELECT query_id, chunk_id, round(s / (qn * cn), 6) AS score
-FROM (SELECT q.query_id, c.chunk_id, sum(q.w * c.w) AS s FROM {queries} q JOIN {vectors} c USING (i) GROUP BY ALL)
-JOIN (SELECT query_id, sqrt(sum(w * w)) AS qn FROM {queries} GROUP BY ALL) USING (query_id)
-JOIN (SELECT chunk_id, sqrt(sum(w * w)) AS cn FROM {vectors} GROUP BY ALL) USING (chunk_id)
+SELECT query_id, chunk_id, round(coalesce(s, 0) / (qn * cn), 6) + 0.0 AS score
+FROM (SELECT query_id, sqrt(sum(w * w)) AS qn FROM {queries} GROUP BY ALL)
+CROSS JOIN (SELECT chunk_id, sqrt(sum(w * w)) AS cn FROM {vectors} GROUP BY ALL)
+LEFT JOIN (SELECT q.query_id, c.chunk_id, sum(q.w * c.w) AS s FROM {queries} q JOIN {vectors} c USING (i) GROUP BY ALL)
+  USING (query_id, chunk_id)
 WHERE qn > 0 AND cn > 0"""
 
 
