@@ -2,7 +2,7 @@
 
 import importlib
 
-TOPICS = ["ingest", "retrieval"]
+TOPICS = ["ingest", "retrieval", "grounding", "understanding"]
 
 
 def load_all() -> None:
