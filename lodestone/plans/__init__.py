@@ -2,7 +2,7 @@
 
 import importlib
 
-TOPICS = ["ingest", "retrieval", "grounding", "understanding"]
+TOPICS = ["ingest", "retrieval", "grounding", "understanding", "tables"]
 
 
 def load_all() -> None:
