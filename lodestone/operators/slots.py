@@ -47,3 +47,9 @@ def embed_visual(df: DataFrame, image: str, caption: str, text: str, embed_text:
 def generate(df: DataFrame, prompt: str, out: str, model: Callable[[Column], Column]) -> DataFrame:
     """Add the text a generator slot returns; used for hypothetical answers and query variations."""
     return df.withColumn(out, model(F.col(prompt)))
+
+
+def reuse_plan(chunks: DataFrame, embedded: DataFrame, key: str) -> DataFrame:
+    """Add `reused`: whether a text with this hash has a vector already, in any document."""
+    known = embedded.select(key).distinct().withColumn("_known", F.lit(True))
+    return chunks.join(known, key, "left").select(*chunks.columns, F.coalesce("_known", F.lit(False)).alias("reused"))

@@ -2,7 +2,7 @@
 
 import importlib
 
-TOPICS = ["ingest", "retrieval", "grounding", "understanding", "tables"]
+TOPICS = ["ingest", "retrieval", "grounding", "understanding", "tables", "operations"]
 
 
 def load_all() -> None:
