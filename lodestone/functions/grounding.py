@@ -103,7 +103,7 @@ def keep_supported(labelled: Column) -> Column:
             tx.strip(F.array_join(texts, " ")).alias("text"),
             texts.alias("kept"),
             F.transform(dropped, lambda c: c["claim"]).alias("dropped"),
-            F.array_sort(F.array_distinct(F.flatten(F.transform(citing, lambda c: cited(c["claim"]))))).alias("cites"),
+            F.sort_array(F.array_distinct(F.flatten(F.transform(citing, lambda c: cited(c["claim"]))))).alias("cites"),
         )
 
     return tx.let(labelled, build)

@@ -27,11 +27,9 @@ def _slots(token: str, dim: int):
 def hashed_counts(text: str | None, dim: int = DENSE_DIM) -> np.ndarray:
     """Signed slot counts of a text; small whole numbers, so float32 holds them exactly."""
     bag = Counter(_TOKEN.findall((text or "").lower()) or ["empty"])
-    out = np.zeros(dim, dtype=np.float32)
-    for token, times in bag.items():
-        index, sign = _slots(token, dim)
-        np.add.at(out, index, sign * times)
-    return out
+    found = [_slots(token, dim) for token in bag]
+    weights = np.concatenate([sign for _, sign in found]) * np.repeat(list(bag.values()), 4)
+    return np.bincount(np.concatenate([i for i, _ in found]), weights, dim).astype(np.float32)
 
 
 def lexical_counts(text: Column, dim: int = DENSE_DIM) -> Column:

@@ -14,7 +14,7 @@ from lodestone.functions import text as tx
 def _joined(ranked: DataFrame, piece, joiner: str, out: str) -> DataFrame:
     pieces = ranked.select("query_id", "rank", piece.alias("p")).where("p <> ''")
     return pieces.groupBy("query_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "p"))), lambda s: s["p"]), joiner).alias(out)
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "p"))), lambda s: s["p"]), joiner).alias(out)
     )
 
 
@@ -75,7 +75,7 @@ def filter_answers(answers: DataFrame, model=None) -> DataFrame:
         done = answers.select("answer_id", gr.filter_answer(F.col("answer"), F.col("evidence")).alias("f"))
     else:
         rows = label_claims(answers, model).groupBy("answer_id").agg(
-            F.array_sort(F.collect_list(F.struct("pos", "claim", "label"))).alias("items")
+            F.sort_array(F.collect_list(F.struct("pos", "claim", "label"))).alias("items")
         )
         none = F.array().cast("array<struct<pos:int,claim:string,label:string>>")
         done = answers.select("answer_id").join(rows, "answer_id", "left").select(

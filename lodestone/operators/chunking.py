@@ -168,14 +168,14 @@ def keep_first(array: Column, key: str) -> Column:
     """
 
     def dedupe(items: Column) -> Column:
-        keyed = F.array_sort(F.transform(items, lambda c, i: F.struct(c[key].alias("k"), i.cast("int").alias("i"))))
+        keyed = F.sort_array(F.transform(items, lambda c, i: F.struct(c[key].alias("k"), i.cast("int").alias("i"))))
         return tx.let(keyed, lambda order: F.transform(firsts(order), lambda i: items[i]))
 
     def firsts(order: Column) -> Column:
         starts = tx.runs(
             F.size(order), lambda j: (j == 0) | (order[j]["k"] != order[F.greatest(j - 1, F.lit(0))]["k"])
         )
-        return F.array_sort(F.transform(starts, lambda j: order[j]["i"]))
+        return F.sort_array(F.transform(starts, lambda j: order[j]["i"]))
 
     return tx.let(array, dedupe)
 
@@ -202,7 +202,7 @@ def select_for_embedding(array: Column, cfg: ChunkConfig = DEFAULT) -> Column:
             ),
             lambda r: ~r["y"].isin("table", "figure"),
         )
-        return F.array_sort(rest)
+        return F.sort_array(rest)
 
     def budget(order: Column) -> Column:
         total = F.aggregate(order, F.lit(0).cast("bigint"), lambda s, r: s + r["t"])
@@ -316,13 +316,13 @@ def documents_with_chunks(
         df = df.groupBy("document_id").agg(
             F.flatten(
                 F.transform(
-                    F.array_sort(F.collect_list(F.struct("page_number", "chunks"))), lambda p: p["chunks"]
+                    F.sort_array(F.collect_list(F.struct("page_number", "chunks"))), lambda p: p["chunks"]
                 )
             ).alias("chunks")
         )
     if structured is not None:
         extra = structured.groupBy("document_id").agg(
-            F.array_sort(
+            F.sort_array(
                 F.collect_list(
                     F.struct("seq", "page_number", "content", "token_count", "chunk_type", "caption", "image_key")
                 )

@@ -87,7 +87,7 @@ def nested(messages: DataFrame, segment: int = 500) -> DataFrame:
     """Messages nested in order: (conversation_id, segment, messages), at most `segment` turns each."""
     part = F.floor(F.col("turn") / segment).alias("segment")
     item = F.struct("turn", "role", "content")
-    return messages.groupBy("conversation_id", part).agg(F.array_sort(F.collect_list(item)).alias("messages"))
+    return messages.groupBy("conversation_id", part).agg(F.sort_array(F.collect_list(item)).alias("messages"))
 
 
 def parse_json_array(c: str, element: str):

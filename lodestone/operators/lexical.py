@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lodestone.functions import text as tx
+from lodestone.operators.sizes import broadcast_if_small
 
 K1, B = 1.2, 0.75
 # Identifiers that are looked up literally.
@@ -32,7 +33,7 @@ def term_counts(text: Column) -> Column:
             ),
         )
 
-    return tx.let(F.array_sort(tx.tokens(text)), count)
+    return tx.let(F.sort_array(tx.tokens(text)), count)
 
 
 def postings(docs: DataFrame, key: str, text: Column, *carry: str) -> DataFrame:
@@ -73,22 +74,31 @@ def bm25_scores(
 ) -> DataFrame:
     """Score of every document that shares a term with a query: (query_id, key, carry.., score).
 
-    The terms of the queries, weighted by their document frequency, are joined to the postings
-    first, so only matching postings are shuffled, and those are summed before they are. With
-    `all_terms` only documents that hold every term of the query are returned.
+    Query terms, weighted by document frequency, are joined to the postings first, so only
+    matching postings are shuffled, and those are summed before they are.
+
+    With `all_terms` only documents that hold every term of the query are returned. Such a
+    document holds the query's rarest term, so the few postings of that term name all
+    candidates, and only these are looked up for the other terms.
     """
     weighted = (
-        query_terms(queries)
-        .join(frequency, "token")
+        frequency.join(broadcast_if_small(query_terms(queries)), "token")
         .withColumn("n", stats.select("n").scalar())
         .withColumn("avgdl", stats.select("avgdl").scalar())
     )
     part = term_score(F.col("tf"), F.col("df"), F.col("dl"), F.col("n"), F.col("avgdl")) * F.col("qtf")
-    scored = (
-        posts.select(key, *carry, "dl", "token", "tf")
-        .join(weighted, "token")
-        .groupBy("query_id", key, *carry)
-        .agg(F.sum(part).alias("score"), F.count("*").alias("matched"), F.first("terms").alias("terms"))
+    hits = posts.select(key, *carry, "dl", "token", "tf")
+    if all_terms:
+        known = weighted.groupBy("query_id").agg(
+            F.min_by("token", F.struct("df", "token")).alias("token"), F.count("*").alias("_m"), F.first("terms").alias("_t")
+        )
+        rare = known.where("_m = _t").select("query_id", "token")
+        candidates = posts.select(key, "token").join(broadcast_if_small(rare), "token").select("query_id", key)
+        hits = hits.join(broadcast_if_small(candidates.join(weighted, "query_id")), [key, "token"])
+    else:
+        hits = hits.join(broadcast_if_small(weighted), "token")
+    scored = hits.groupBy("query_id", key, *carry).agg(
+        F.sum(part).alias("score"), F.count("*").alias("matched"), F.first("terms").alias("terms")
     )
     if all_terms:
         scored = scored.where("matched = terms")

@@ -12,7 +12,7 @@ KEPT = 1000
 def metric_key(name: Column, labels: Column) -> Column:
     """`name{a="1",b="2"}` with labels sorted by name."""
     pairs = F.transform(
-        F.array_sort(F.map_entries(labels)), lambda e: F.concat(e["key"], F.lit('="'), e["value"], F.lit('"'))
+        F.sort_array(F.map_entries(labels)), lambda e: F.concat(e["key"], F.lit('="'), e["value"], F.lit('"'))
     )
     return F.when(labels.isNull() | (F.cardinality(labels) == 0), name).otherwise(
         F.concat(name, F.lit("{"), F.array_join(pairs, ","), F.lit("}"))
@@ -38,7 +38,7 @@ def latency_summary(points: DataFrame, key: str, value: str, order: list[str], k
     """
     newest = W.partitionBy(key).orderBy(*[F.desc(c) for c in order])
     last = points.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= kept)
-    lists = last.groupBy(key).agg(F.array_sort(F.collect_list(value)).alias("v"), F.avg(value).alias("avg"))
+    lists = last.groupBy(key).agg(F.sort_array(F.collect_list(value)).alias("v"), F.avg(value).alias("avg"))
     n = F.size("v")
 
     def at(share: float, least: int) -> Column:

@@ -11,7 +11,7 @@ from lodestone.functions import text as tx
 from lodestone.functions import vectors as vec
 from lodestone.operators import chunking, index
 from lodestone.plans.registry import view
-from lodestone.session import checkpoint_dir
+from lodestone.session import checkpoint_dir, ship_package
 
 EPOCH = "2024-01-01 00:00:00"
 
@@ -29,6 +29,7 @@ class Views:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.dir = sf_dir
+        ship_package(spark)
         # A union that claims its children's partitioning breaks once adaptive execution has
         # coalesced only some of them.
         spark.conf.set("spark.sql.unionOutputPartitioning", "false")
@@ -188,7 +189,7 @@ def label_vectors(t: Views) -> DataFrame:
     e = t.table("embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
     means = e.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
     return means.groupBy("label").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("vec")
+        F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("vec")
     ).select(F.col("label").cast("bigint").alias("query_id"), "vec")
 
 

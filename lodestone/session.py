@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -16,6 +17,7 @@ def get_session(app: str = "lodestone", master: str | None = None, partitions: i
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     if master:
         builder = builder.master(master).config("spark.ui.enabled", "false")
@@ -34,3 +36,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if spark._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(configured)
     return configured
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, wherever they run; once per application."""
+    mark = f"lodestone.shipped.{spark.sparkContext.applicationId}"
+    if spark.conf.get(mark, None) is None:
+        root = os.path.dirname(os.path.abspath(__file__))
+        target = os.path.join(tempfile.mkdtemp(prefix="spark-"), "lodestone")
+        archive = shutil.make_archive(target, "zip", os.path.dirname(root), os.path.basename(root))
+        spark.sparkContext.addPyFile(archive)
+        spark.conf.set(mark, archive)
