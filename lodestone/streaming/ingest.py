@@ -16,19 +16,26 @@ FILES = "path string, modificationTime timestamp, length bigint, content binary"
 DEAD_LETTERS = 1000
 
 
-def ingest_files(files: DataFrame, cfg: chunking.ChunkConfig = chunking.DEFAULT) -> dict[str, DataFrame]:
-    """Tables chunks, documents and dead of a set of files. A bad file only affects its own row."""
+def ingest_files(files: DataFrame, out: str, number: int, cfg: chunking.ChunkConfig = chunking.DEFAULT) -> None:
+    """Write the tables chunks, documents and dead of a set of files. A bad file only affects its own row.
+
+    Later tables are computed from the written ones, so every file is chunked once.
+    """
+    spark = files.sparkSession
     accepted, rejected = parsing.admit_files(files)
-    pages = parsing.text_pages(accepted)
-    chunks = chunking.ingest(pages, cfg, one_page=True)
+
+    def save(table: DataFrame, name: str) -> DataFrame:
+        path = f"{out}/{name}/batch={number}"
+        table.write.mode("overwrite").parquet(path)
+        return spark.read.schema(table.schema).parquet(path)
+
+    chunks = save(chunking.ingest(parsing.text_pages(accepted), cfg, one_page=True), "chunks")
     documents = accepted.select(
         F.col("path").alias("document_id"), F.col("length").alias("file_size"), F.lit("processing").alias("status")
     )
-    documents = tenancy.finalize_status(documents, chunks)
-    dead = rejected.select(F.col("path").alias("document_id"), F.col("reason").alias("error")).unionByName(
-        documents.where("status = 'error'").select("document_id", F.col("error_message").alias("error"))
-    )
-    return {"chunks": chunks, "documents": documents, "dead": dead}
+    documents = save(tenancy.finalize_status(documents, chunks.select("document_id")), "documents")
+    failed = documents.where("status = 'error'").select("document_id", F.col("error_message").alias("error"))
+    save(rejected.select(F.col("path").alias("document_id"), F.col("reason").alias("error")).unionByName(failed), "dead")
 
 
 def ingest_stream(
@@ -37,8 +44,7 @@ def ingest_stream(
     """Watch a folder and ingest its new files, each once."""
 
     def write(batch: DataFrame, number: int) -> None:
-        for name, table in ingest_files(batch, cfg).items():
-            table.write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
+        ingest_files(batch, out, number, cfg)
 
     stream = (
         spark.readStream.schema(FILES).format("binaryFile").option("maxFilesPerTrigger", files_per_batch)

@@ -25,7 +25,7 @@ def test_three_batches_equal_one(spark):
     (src / "bad.exe").write_text("x")
     (src / "raw.md").write_bytes(b"\xff\xfe" + text(99).encode() + b"\xc3")
     tables = []
-    for per_batch in (100, 3):
+    for per_batch in (100, 5):
         out = folder()
         ingest.ingest_stream(spark, str(src), out, folder(), files_per_batch=per_batch).awaitTermination()
         chunks = ingest.current(spark, out, "chunks").select("chunk_id", "content", "selected").collect()
