@@ -124,7 +124,7 @@ def test_stuck_documents_and_first_asked(spark):
     assert [(r.document_id, r.status, r.error_message) for r in spark.table("stuck").collect()] == [("a", "error", tenancy.STUCK)]
     src = folder()
     asked = pd.DataFrame([("n", "Hi", at(0)), ("n", " hi ", at(1)), ("m", "hi", at(2))], columns=["ns", "query", "ts"])
-    spark.createDataFrame(asked).coalesce(1).write.parquet(src)
+    spark.createDataFrame(asked).coalesce(1).write.mode("append").parquet(src)
     stream = spark.readStream.schema("ns string, query string, ts timestamp").parquet(src)
     q = rq.first_asked(stream).writeStream.format("memory").queryName("asked").outputMode("append").start()
     q.processAllAvailable()
@@ -135,7 +135,7 @@ def test_stuck_documents_and_first_asked(spark):
 def test_request_metrics_stream(spark):
     src = folder()
     rows = [(pd.Timestamp("2024-01-01") + pd.Timedelta(minutes=20 * i), "p", 200, float(i)) for i in range(12)]
-    spark.createDataFrame(pd.DataFrame(rows, columns=["ts", "path", "status", "latency"])).coalesce(1).write.parquet(src)
+    spark.createDataFrame(pd.DataFrame(rows, columns=["ts", "path", "status", "latency"])).coalesce(1).write.mode("append").parquet(src)
     stream = spark.readStream.schema("ts timestamp, path string, status long, latency double").parquet(src)
     q = rq.request_metrics(stream).writeStream.format("memory").queryName("rm").outputMode("append").start()
     q.processAllAvailable()
