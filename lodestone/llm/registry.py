@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["url_rules", "site_lines", "licenses"]
+MODULES = ["url_rules", "site_lines", "licenses", "simhash"]
 
 
 def queries() -> dict:

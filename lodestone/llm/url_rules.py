@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from lodestone.llm.common import map_arrow, read_table, slices
 
 END, AFTER = "\x01", "\x02"  # closes a label; the first string after all that start with a closed label
-SAMPLE_PER_RANGE = 50
+SAMPLE_PER_RANGE = 20
 
 
 def split_url(url: str | None) -> tuple[str, str]:
