@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["url_rules", "site_lines", "licenses", "simhash", "decontaminate"]
+MODULES = ["url_rules", "site_lines", "licenses", "simhash", "decontaminate", "packing"]
 
 
 def queries() -> dict:
