@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["url_rules", "site_lines", "licenses", "simhash", "decontaminate", "packing"]
+MODULES = ["url_rules", "site_lines", "licenses", "simhash", "decontaminate", "packing", "quality"]
 
 
 def queries() -> dict:
