@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["url_rules", "site_lines", "licenses", "simhash", "decontaminate", "packing", "quality", "language"]
+MODULES = ["url_rules", "site_lines", "licenses", "simhash", "decontaminate", "packing", "quality", "language", "neighbours"]
 
 
 def queries() -> dict:
