@@ -124,6 +124,80 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return marked.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
+#: Bits of three groups, in segments of three or four: of at most eight differing bits, one group has two at most.
+WIDE_GROUPS = ((3,) * 7, (3,) * 7, (3,) * 6 + (4,))
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, text_col: str, words: int) -> DataFrame:
+    """u, shingles: sorted different shingle hashes of the wanted texts (t1, t2, u)."""
+
+    def run(batches):
+        for batch in slices(batches, 500):
+            found = [np.unique(shingle_hashes(t, words)).view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["u", "shingles"])
+
+    own = docs.select(*_text_key(text_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    met = own.join(wanted, ["t1", "t2"]).groupBy("u").agg(F.first("text").alias("text"))
+    return map_arrow(met, run, "u string, shingles array<long>")
+
+
+def _text_key(text_col: str) -> list[Column]:
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")]
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) whose shingle sets have that Jaccard similarity at least."""
+    met = pairs.join(sets.select(F.col("u").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("u").alias("b"), F.col("shingles").alias("y")), "b")
+    both = F.size(F.array_intersect("x", "y"))
+    return met.filter(both >= F.lit(similarity) * (F.size("x") + F.size("y") - both)).select("a", "b")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, distance: int = 8, groups=WIDE_GROUPS) -> DataFrame:
+    """`docs` with one row, that of the smallest id, of each group of exact or near copies.
+
+    Near copies are texts linked by a Jaccard similarity of their shingle sets of `similarity` at least. Candidates are
+    fingerprints at most `distance` bits apart; texts of one fingerprint are compared with one of them. All candidates
+    are verified on the full sets, but those whose texts are already connected: first one candidate of each text, then
+    what still lies between components. Null text counts as empty; empty texts are copies of each other.
+    """
+
+    def run(batches):
+        for batch in slices(batches, 1000):
+            out = []
+            for t in batch.column(3):
+                hashes = shingle_hashes(t.as_py(), words)
+                kinds = np.unique(hashes)
+                out.append((xxhash.xxh3_128_hexdigest(kinds.astype("<u8").tobytes()), majority(hashes), len(kinds)))
+            columns = [pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 3, (pa.string(), pa.int64(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=["id", "t1", "t2", "u", "fp", "k"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    own = docs.select(F.col(id_col).alias("id"), *_text_key(text_col), F.col(text_col).alias("text"))
+    marked = store(map_arrow(own, run, f"id {kind}, t1 long, t2 long, u string, fp long, k long"), "marked")
+    nodes = store(marked.groupBy("u").agg(F.min("fp").alias("fp"), F.min("k").alias("k"), F.min(F.struct("t1", "t2")).alias("t")), "nodes")
+    heads = store(nodes.filter("k > 0").groupBy("fp").agg(F.min(F.struct("u", "k")).alias("head")), "heads")
+    met = links(heads.select("fp"), distance, groups).distinct()
+    met = met.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b")
+    same = nodes.filter("k > 0").join(heads, "fp").filter("u <> head.u").select(F.col("head").alias("x"), F.struct("u", "k").alias("y"))
+    met = met.select("x", "y").unionByName(same).filter(F.least("x.k", "y.k") >= F.lit(similarity) * F.greatest("x.k", "y.k"))
+    pairs = store(met.select(F.least("x.u", "y.u").alias("a"), F.greatest("x.u", "y.u").alias("b")).distinct(), "pairs")
+    wanted = pairs.select(F.col("a").alias("u")).union(pairs.select("b")).distinct().join(nodes, "u").select("u", "t.t1", "t.t2")
+    sets = store(_sets(docs, wanted, text_col, words), "sets")
+    sure = store(_similar(pairs.groupBy("b").agg(F.min("a").alias("a")), sets, similarity), "sure")
+    roots = components(sure)
+    a, b = roots.toDF("a", "ra"), roots.toDF("b", "rb")
+    open_ = pairs.join(a, "a", "left").join(b, "b", "left").filter(~F.coalesce(F.col("ra") == F.col("rb"), F.lit(False))).select("a", "b")
+    roots = components(sure.unionByName(_similar(open_, sets, similarity)))
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "t1", "t2")
+    kept = marked.join(roots.toDF("u", "root"), "u", "left").groupBy(F.coalesce("root", "u").alias("root")).agg(F.min(order).alias("low"))
+    columns = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)))
+    rows = docs.select(*_text_key(text_col), columns.alias("row"), F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id")).alias("order"))
+    rows = rows.groupBy("t1", "t2").agg(F.min_by("row", "order").alias("row"))
+    rows = rows.join(kept.select("low.t1", "low.t2"), ["t1", "t2"], "left_semi")
+    return rows.select(*(F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_copies(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
