@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from lodestone.llm.common import lower_ascii, read_table
+from lodestone.llm.common import lower_ascii, read_table, store
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -38,8 +38,8 @@ def item_windows(items: DataFrame, id_col: str, text_col: str, window: int) -> D
 def keyed_windows(windows: DataFrame, texts: DataFrame) -> DataFrame:
     """key, at, wid, win: each different window under its rarest word and that word's offset. Windows with a word that no text has go."""
     distinct = windows.groupBy("wid").agg(F.first("win").alias("win"))
-    tokens = distinct.select(F.explode("win").alias("token")).distinct()
-    counts = texts.select(F.explode(words_of(F.col("text"))).alias("token")).join(tokens, "token").groupBy("token").agg(F.count("*").alias("n"))
+    tokens = store(distinct.select(F.explode("win").alias("token")).distinct(), "tokens")
+    counts = store(texts.select(F.explode(words_of(F.col("text"))).alias("token")).join(tokens, "token").groupBy("token").agg(F.count("*").alias("n")), "counts")
     ordered = distinct.select("wid", F.size("win").alias("size"), F.posexplode("win").alias("at", "token")).join(counts, "token")
     best = ordered.groupBy("wid").agg(F.min(F.struct("n", "token", "at")).alias("rarest"), F.count("*").alias("known"), F.first("size").alias("size"))
     best = best.filter("known = size").select("wid", F.col("rarest.token").alias("key"), F.col("rarest.at").alias("at"))
@@ -47,32 +47,35 @@ def keyed_windows(windows: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def occurrences(texts: DataFrame, keyed: DataFrame) -> DataFrame:
-    """digest, start, size, wid: where windows occur in texts (digest, text). Starts count from 0."""
-    said = texts.select("digest", words_of(F.col("text")).alias("w"))
-    each = said.select("digest", F.size("w").alias("n"), F.posexplode("w").alias("pos", "key"))
-    near = each.join(keyed.select("key", "at", "wid", F.size("win").alias("size")), "key").withColumn("start", F.col("pos") - F.col("at"))
-    near = near.filter("start >= 0 AND start + size <= n").select("digest", "start", "wid").distinct()
-    found = near.join(keyed.select("wid", "win"), "wid").join(said, "digest")
-    return found.filter(F.slice("w", F.col("start") + 1, F.size("win")) == F.col("win")).select("digest", "start", F.size("win").alias("size"), "wid").distinct()
+    """digest, start, size, wid: where windows occur in texts (digest, text). Starts count from 0.
+
+    A text's words first pass the set of keys, which is much smaller than the windows; only what passes meets them.
+    """
+    keys = store(keyed.select("key").distinct(), "keys")
+    each = texts.select("digest", words_of(F.col("text")).alias("w")).select("digest", F.size("w").alias("n"), F.posexplode("w").alias("pos", "key"))
+    near = each.join(keys, "key", "left_semi").join(keyed.select("key", "at", "wid", F.size("win").alias("size")), "key").withColumn("start", F.col("pos") - F.col("at"))
+    near = store(near.filter("start >= 0 AND start + size <= n").select("digest", "start", "wid").distinct(), "candidates")
+    met = near.join(keyed.select("wid", "win"), "wid").join(texts, "digest").withColumn("w", words_of(F.col("text")))
+    return met.filter(F.slice("w", F.col("start") + 1, F.size("win")) == F.col("win")).select("digest", "start", F.size("win").alias("size"), "wid").distinct()
 
 
 def contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10) -> DataFrame:
     """`docs` with a struct `_hits` as last column: n_words, n_hit (words inside windows of items), items (their ids as sorted strings)."""
-    texts = docs.select(F.md5(F.col(text_col).cast("binary")).alias("digest"), F.col(text_col).alias("text")).filter("text IS NOT NULL")
-    windows = item_windows(items, item_id, item_text, window)
-    found = occurrences(texts, keyed_windows(windows, texts))
+    digest = F.md5(F.col(text_col).cast("binary"))
+    texts = docs.select(digest.alias("digest"), F.col(text_col).alias("text")).filter("text IS NOT NULL")
+    windows = store(item_windows(items, item_id, item_text, window), "windows")
+    found = store(occurrences(texts, store(keyed_windows(windows, texts), "keyed")), "found")
     before = Window.partitionBy("digest").orderBy("start", "size").rowsBetween(Window.unboundedPreceding, -1)
     end = F.col("start") + F.col("size")
     reached = found.select("digest", "start", "size").distinct().withColumn("upto", F.coalesce(F.max(end).over(before), F.lit(0)))
     covered = reached.groupBy("digest").agg(F.sum(F.greatest(F.lit(0), end - F.greatest("start", "upto"))).cast("long").alias("n_hit"))
     named = found.select("digest", "wid").distinct().join(windows.select("wid", "item").distinct(), "wid")
     listed = named.groupBy("digest").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    hits = covered.join(listed, "digest").select(F.col("digest").alias("_digest"), F.col("n_hit").alias("_n_hit"), F.col("items").alias("_items"))
-    rows = docs.withColumn("_digest", F.md5(F.col(text_col).cast("binary")))
+    hits = store(covered.join(listed, "digest").select(F.col("digest").alias("_digest"), F.col("n_hit").alias("_n_hit"), F.col("items").alias("_items")), "hits")
+    rows = docs.withColumns({"_digest": digest, "_n_words": F.coalesce(F.size(words_of(F.col(text_col))), F.lit(0)).cast("long")})
     struct = F.struct(
-        F.coalesce(F.size(words_of(F.col(text_col))), F.lit(0)).cast("long").alias("n_words"), F.coalesce("_n_hit", F.lit(0)).cast("long").alias("n_hit"),
-        F.coalesce("_items", F.array().cast("array<string>")).alias("items"),
-    )
+        F.col("_n_words").alias("n_words"), F.coalesce("_n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("_items", F.array().cast("array<string>")).alias("items")
+    )
     return rows.join(hits, "_digest", "left").select(*(F.col(f"`{c}`") for c in docs.columns), struct.alias("_hits"))
 
 
@@ -80,7 +83,7 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     out = contamination(docs, read_table(spark, sf_dir, "benchmark"))
     return out.select(
-        "doc_id", F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.col("_hits.n_words")).cast("long").alias("n_words"), F.col("_hits.n_hit").alias("n_hit"), F.size("_hits.items").cast("long").alias("n_items"),
+        "doc_id", F.col("_hits.n_words").alias("n_words"), F.col("_hits.n_hit").alias("n_hit"), F.size("_hits.items").cast("long").alias("n_items"),
         F.sha2(F.array_join("_hits.items", ","), 256).alias("items_sha256"), (F.col("_hits.n_hit") > 0).alias("contaminated"),
     )
 
