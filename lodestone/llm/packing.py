@@ -16,6 +16,7 @@ gives no rows; only the named columns are read.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import os
 from pathlib import Path
@@ -27,22 +28,36 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from lodestone.llm.common import WordCodes, code_array, map_arrow, ranges, read_table, slices, store
 
-CACHED_WORDS = 400_000
+CACHED_WORDS = 500_000
+JOINED_WORDS = 200
 
 
 class Encoder:
-    """Token ids of texts by a `tokenizers` file. White space separates tokens, so that each different word is encoded once."""
+    """Token ids of texts by a `tokenizers` file. White space separates tokens, so that each different word is encoded once.
+    What is known is kept for the next texts."""
 
     def __init__(self, json: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(json)
+        self.wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.clear()
 
     def clear(self) -> None:
         self.codes, self.starts, self.ids = WordCodes(), np.zeros(1, np.int64), np.empty(0, np.uint32)
 
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words one after the other, and the number of ids of each; words are joined by spaces, ids told apart by their place."""
+        joined = [words[i : i + JOINED_WORDS] for i in range(0, len(words), JOINED_WORDS)]
+        found = self.tokenizer.encode_batch([" ".join(w) for w in joined], add_special_tokens=False)
+        counts = []
+        for some, e in zip(joined, found):
+            sizes = np.fromiter(map(len, some), np.int64, len(some)) + 1
+            places = np.fromiter((o[0] for o in e.offsets), np.int64)
+            counts.append(np.bincount(np.searchsorted(np.cumsum(sizes) - sizes, places, side="right") - 1, minlength=len(some)))
+        return np.fromiter(itertools.chain.from_iterable(e.ids for e in found), np.uint32), np.concatenate(counts)
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and the number of ids of each."""
         if len(self.codes) > CACHED_WORDS:
@@ -56,10 +71,9 @@ class Encoder:
             counts.append(len(words))
         fresh = list(itertools.islice(self.codes, known, None))
         if fresh:
-            found = [e.ids for e in self.tokenizer.encode_batch(fresh, add_special_tokens=False)]
-            ends = self.starts[-1] + np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
-            self.starts = np.concatenate([self.starts, ends])
-            self.ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(found), np.uint32)])
+            ids, sizes = self._encode_words(fresh)
+            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
+            self.ids = np.concatenate([self.ids, ids])
         codes = np.concatenate(parts) if parts else np.empty(0, np.int64)
         sizes = self.starts[codes + 1] - self.starts[codes]
         ids = self.ids[np.repeat(self.starts[codes], sizes) + ranges(sizes)]
@@ -67,14 +81,19 @@ class Encoder:
         return ids, np.diff(ends)
 
 
+@functools.lru_cache(maxsize=1)
+def encoder_of(json: str) -> Encoder:
+    """One for each Python worker, which runs many tasks."""
+    return Encoder(json)
+
+
 def tokenised(docs: DataFrame, tokenizer: str, window: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
     """Stored rows: id, task, ids (little-endian 16- or 32-bit), n, rest (n mod window), full_before, rest_before: how many
     full windows and remainders of this length came before in the task."""
     json = Path(tokenizer).read_text(encoding="utf-8")
 
     def run(batches):
-        encoder = Encoder(json)
-        wide = encoder.tokenizer.get_vocab_size() > 1 << 16
+        encoder = encoder_of(json)
         task, full, rests = TaskContext.get().partitionId(), 0, np.zeros(window, np.int64)
         for batch in slices(batches, 500):
             ids, counts = encoder.encode([t or "" for t in batch.column(1).to_pylist()])
@@ -82,7 +101,7 @@ def tokenised(docs: DataFrame, tokenizer: str, window: int, end_id: int, id_col:
             rows = []
             for a, b in zip((ends - counts).tolist(), ends.tolist()):
                 n = b - a + 1
-                own = np.append(ids[a:b], np.uint32(end_id)).astype("<u4" if wide else "<u2")
+                own = np.append(ids[a:b], np.uint32(end_id)).astype("<u4" if encoder.wide else "<u2")
                 rows.append((task, own.tobytes(), n, n % window, full, int(rests[n % window])))
                 full += n // window
                 rests[n % window] += 1
