@@ -30,10 +30,10 @@ def context_blocks(ranked: DataFrame) -> DataFrame:
     return _joined(ranked, block, "\n---\n", "context")
 
 
-def evidence(ranked: DataFrame, chars_per_chunk: int = 800) -> DataFrame:
-    """(query_id, evidence): caption and text of the ranked chunks, as the support test reads them."""
+def evidence(ranked: DataFrame, chars_per_chunk: int | None = None) -> DataFrame:
+    """(query_id, evidence): caption and text of the ranked chunks, as the support test reads them; whole unless cut."""
     words = tx.strip(F.concat_ws(" ", F.nullif(F.col("caption"), F.lit("")), F.nullif(F.col("content"), F.lit(""))))
-    return _joined(ranked, F.substring(words, 1, chars_per_chunk), "\n", "evidence")
+    return _joined(ranked, words if chars_per_chunk is None else F.substring(words, 1, chars_per_chunk), "\n", "evidence")
 
 
 def citations(ranked: DataFrame, documents: DataFrame) -> DataFrame:

@@ -9,11 +9,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lodestone.functions import text as tx
 from lodestone.functions import understand as un
 from lodestone.operators import knn
-from lodestone.operators.sequences import ordered_scan
+from lodestone.operators.sequences import carry_last, ordered_scan
 
 # Default lifetime in seconds and the similarity a cached answer needs.
 BASE_TTL = 86400
 SIMILAR = 0.95
+HOUR_MICROS = 3_600_000_000
 
 
 def query_hash(query: Column) -> Column:
@@ -27,15 +28,26 @@ def store(entries: DataFrame, base: int = BASE_TTL) -> DataFrame:
 
 
 def live(cache: DataFrame, as_of: Column) -> DataFrame:
-    return cache.where(F.col("expires_at") > as_of)
+    """Entries stored by then and not yet expired."""
+    return cache.where((F.col("stored_at") <= as_of) & (F.col("expires_at") > as_of))
 
 
 def exact_lookup(requests: DataFrame, cache: DataFrame) -> DataFrame:
-    """Add `hit` to requests (ns, query, ts, ..): an entry of the same query, stored before and still live."""
-    known = cache.select("ns", "query_hash", "stored_at", "expires_at")
-    hit = F.col("stored_at").isNotNull() & (F.col("stored_at") <= F.col("ts")) & (F.col("expires_at") > F.col("ts"))
-    asked = requests.withColumn("query_hash", query_hash(F.col("query")))
-    return asked.join(known, ["ns", "query_hash"], "left").select(*requests.columns, hit.alias("hit"))
+    """Add `hit` to requests (ns, query, ts, ..): the newest entry of the same query stored by then is still live.
+
+    One row per request, however often a query was stored: requests and entries are lined up
+    by time and the newest expiry is carried along, in segments of an hour.
+    """
+    def row(key: Column, at: str, late: int, request: Column, expiry: Column) -> list[Column]:
+        place = F.unix_micros(F.col(at).cast("timestamp")) * 2 + late  # an entry counts for requests of the same moment
+        return [F.concat_ws("|", key, "ns").alias("_key"), place.alias("_at"), request.alias("_request"), expiry.alias("_expiry")]
+
+    asked = requests.select(*row(query_hash(F.col("query")), "ts", 1, F.struct(*requests.columns), F.lit(None).cast("timestamp")))
+    none = F.lit(None).cast(asked.schema["_request"].dataType)
+    lined = asked.unionByName(cache.select(*row(F.col("query_hash"), "stored_at", 0, none, F.col("expires_at"))))
+    carried = carry_last(lined, "_key", "_at", F.col("_expiry").isNotNull(), "_expiry", "_live", 2 * HOUR_MICROS)
+    hit = F.coalesce(F.col("_live") > F.col("_request.ts"), F.lit(False))
+    return carried.where("_request IS NOT NULL").select(*(F.col("_request")[c].alias(c) for c in requests.columns), hit.alias("hit"))
 
 
 def semantic_lookup(requests: DataFrame, cache: DataFrame, as_of: Column, threshold: float = SIMILAR) -> DataFrame:

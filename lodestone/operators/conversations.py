@@ -13,7 +13,6 @@ from lodestone.operators.sequences import carry_last
 
 # How many conversations a listing and a local store hold.
 RECENT_LIMIT = 50
-MERGE_LIMIT = 20
 
 
 def auto_titles(messages: DataFrame, given: DataFrame | None = None) -> DataFrame:
@@ -127,7 +126,7 @@ def recent_per_workspace(conversations: DataFrame, n: int = 5) -> DataFrame:
     return conversations.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)
 
 
-def merge_remote(remote: DataFrame, local: DataFrame, limit: int | None = MERGE_LIMIT) -> DataFrame:
+def merge_remote(remote: DataFrame, local: DataFrame, limit: int | None = None) -> DataFrame:
     """Remote conversations first, then local ones unknown there."""
     extra = local.join(remote.select("conversation_id"), "conversation_id", "left_anti")
     both = remote.withColumn("source", F.lit("remote")).unionByName(extra.select(remote.columns).withColumn("source", F.lit("local")))

@@ -10,7 +10,6 @@ from lodestone.operators.sizes import broadcast_if_small
 K1, B = 1.2, 0.75
 # Identifiers that are looked up literally.
 IDENTIFIER = r"(?i)\b(?:SKU-[A-Z0-9-]+|FIG-[A-Z0-9-]+|site\s+[0-9]+)\b"
-MAX_IDENTIFIERS = 4
 _PREFIX = 64
 
 
@@ -122,8 +121,9 @@ def top_k(scored: DataFrame, k: int, key: str = "chunk_id", score: str = "score"
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def identifiers(text: Column, limit: int = MAX_IDENTIFIERS) -> Column:
-    return F.slice(F.regexp_extract_all(text, F.lit(IDENTIFIER), F.lit(0)), 1, limit)
+def identifiers(text: Column, limit: int | None = None) -> Column:
+    found = F.regexp_extract_all(text, F.lit(IDENTIFIER), F.lit(0))
+    return found if limit is None else F.slice(found, 1, limit)
 
 
 def anchors(chunks: DataFrame, *carry: str) -> DataFrame:

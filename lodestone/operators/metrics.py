@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-# Bucket bounds of the latency histogram and the number of kept observations.
+# Bucket bounds of the latency histogram.
 BOUNDS = [0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0]
-KEPT = 1000
 
 
 def metric_key(name: Column, labels: Column) -> Column:
@@ -31,29 +30,34 @@ def gauges(points: DataFrame, order: Column) -> DataFrame:
     return keyed.groupBy("key").agg(F.max_by("value", "_o").alias("value"))
 
 
-def latency_summary(points: DataFrame, key: str, value: str, order: list[str], kept: int = KEPT) -> DataFrame:
-    """Statistics of the last observations per key; percentiles are values at an index.
+def latency_summary(points: DataFrame, key: str, value: str, order: list[str], kept: int | None = None, step: float = 1.0) -> DataFrame:
+    """Statistics per key; percentiles are values at an index. `kept` leaves the newest observations of a key only.
 
-    Only `kept` values per key leave the tasks, so the lists sorted here are bounded.
+    Values are counted in steps; of each step that holds a wanted index, and of no other, single
+    values are ranked. So a key with very many observations is spread over its steps.
     """
-    newest = W.partitionBy(key).orderBy(*[F.desc(c) for c in order])
-    last = points.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= kept)
-    lists = last.groupBy(key).agg(F.sort_array(F.collect_list(value)).alias("v"), F.avg(value).alias("avg"))
-    n = F.size("v")
-
-    def at(share: float, least: int) -> Column:
-        return F.when(n >= least, F.get("v", F.floor(n * F.lit(share)).cast("int"))).otherwise(F.element_at("v", -1))
-
-    return lists.select(
-        key,
-        n.cast("bigint").alias("count"),
-        F.get("v", F.lit(0)).alias("min"),
-        F.element_at("v", -1).alias("max"),
-        F.round("avg", 6).alias("avg"),
-        F.get("v", F.floor(n / 2).cast("int")).alias("p50"),
-        at(0.95, 20).alias("p95"),
-        at(0.99, 100).alias("p99"),
+    if kept is not None:
+        newest = W.partitionBy(key).orderBy(*[F.desc(c) for c in order])
+        points = points.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= kept)
+    own = points.select(key, F.col(value).alias("_v"), F.floor(F.col(value) / step).alias("_step")).where("_v IS NOT NULL")
+    whole = own.groupBy(key).agg(
+        F.count("*").alias("count"), F.min("_v").alias("min"), F.max("_v").alias("max"), F.round(F.avg("_v"), 6).alias("avg")
     )
+    n = F.col("count")
+    wanted = [("p50", 0.5, 0), ("p95", 0.95, 20), ("p99", 0.99, 100)]
+    places = [
+        F.struct(F.lit(name).alias("name"), F.when(n >= least, F.floor(n * F.lit(share))).otherwise(n - 1).alias("at"))
+        for name, share, least in wanted
+    ]
+    asked = whole.select(key, F.inline(F.array(*places)))
+    upto = W.partitionBy(key).orderBy("_step").rowsBetween(W.unboundedPreceding, 0)
+    steps = own.groupBy(key, "_step").agg(F.count("*").alias("_k")).withColumn("_end", F.sum("_k").over(upto))
+    held = steps.join(asked, key).where("_end > at AND _end - _k <= at").select(key, "_step", "name", (F.col("at") - F.col("_end") + F.col("_k")).alias("at"))
+    values = own.join(held.select(key, "_step").distinct(), [key, "_step"], "left_semi").groupBy(key, "_step", "_v").agg(F.count("*").alias("_k"))
+    inside = W.partitionBy(key, "_step").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
+    found = values.withColumn("_end", F.sum("_k").over(inside)).join(held, [key, "_step"]).where("_end > at AND _end - _k <= at")
+    named = found.groupBy(key).agg(*(F.max(F.when(F.col("name") == name, F.col("_v"))).alias(name) for name, _, _ in wanted))
+    return whole.join(named, key)
 
 
 def latency_buckets(points: DataFrame, key: str, value: Column) -> DataFrame:

@@ -148,18 +148,27 @@ def confidence(top: Column) -> Column:
     return F.when(top >= 0.7, "high").when(top >= 0.5, "low").otherwise("very_low")
 
 
-def hyde_merge(ranked: DataFrame, hypothetical: DataFrame, corpus: Index, k: int) -> DataFrame:
-    """For very low confidence, fuse with searches for hypothetical answers.
+def _with_scope(asked: DataFrame, queries: DataFrame) -> DataFrame:
+    """Give derived queries the scope of the query they belong to."""
+    fields = [c for c in (*SCOPE, "document_ids") if c in queries.columns]
+    return asked.drop(*fields).join(queries.select("query_id", *fields), "query_id") if fields else asked
+
+
+def _derived(asked: DataFrame) -> DataFrame:
+    """An id of its own for every (query_id, n)."""
+    return asked.withColumn("query_id", F.concat_ws("#", "query_id", "n")).drop("n")
+
+
+def hyde_merge(queries: DataFrame, ranked: DataFrame, hypothetical: DataFrame, corpus: Index, k: int) -> DataFrame:
+    """For very low confidence, fuse with searches for hypothetical answers, within the query's scope.
 
     `hypothetical` holds (query_id, n, text) and optionally vectors; texts that fail the
     gate are ignored. The merge is used where it improves the best score.
     """
     weak = top_scores(ranked).where(confidence(F.col("top")) == "very_low")
     usable = hypothetical.where(un.hyde_usable(F.col("text"))).join(weak, "query_id", "left_semi")
-    asked = embedded(usable, corpus).select(
-        F.struct("query_id", "n").alias("pair"), F.concat_ws("#", "query_id", "n").alias("query_id"), "vec"
-    )
-    found = knn.nearest(asked.drop("pair"), corpus.dense, k).withColumn(
+    asked = _derived(_with_scope(embedded(usable, corpus).select("query_id", "n", "vec"), queries))
+    found = knn.nearest(asked, corpus.dense, k, scope=SCOPE).withColumn(
         "origin", F.split("query_id", "#")[0].cast(ranked.schema["query_id"].dataType)
     )
     lists = ranked.select("query_id", F.lit("q").alias("list"), "chunk_id", "score", "rank").unionByName(
@@ -172,13 +181,13 @@ def hyde_merge(ranked: DataFrame, hypothetical: DataFrame, corpus: Index, k: int
     )
 
 
-def multi_query_merge(ranked: DataFrame, variations: DataFrame, corpus: Index, k: int) -> DataFrame:
-    """For low confidence, fuse with HYBRID results of the query's variations (query_id, n, text)."""
+def multi_query_merge(
+    queries: DataFrame, ranked: DataFrame, variations: DataFrame, corpus: Index, k: int, use_multi_granularity: bool = True
+) -> DataFrame:
+    """For low confidence, fuse with HYBRID results of the query's variations (query_id, n, text), within its scope."""
     weak = top_scores(ranked).where(confidence(F.col("top")) == "low")
-    asked = variations.join(weak, "query_id", "left_semi").select(
-        F.concat_ws("#", "query_id", "n").alias("query_id"), "text"
-    )
-    found = hybrid(asked, corpus, k).withColumn(
+    asked = _derived(_with_scope(variations.join(weak, "query_id", "left_semi").select("query_id", "n", "text"), queries))
+    found = (multi_granularity if use_multi_granularity else hybrid)(asked, corpus, k).withColumn(
         "origin", F.split("query_id", "#")[0].cast(ranked.schema["query_id"].dataType)
     )
     lists = ranked.select("query_id", "chunk_id", "score", "rank").unionByName(
@@ -197,14 +206,16 @@ def overlap_score(query: Column, passage: Column) -> Column:
     return F.size(F.array_intersect(asked, tx.tokens(passage))) / F.greatest(F.size(asked), F.lit(1))
 
 
-def rerank(candidates: DataFrame, k: int, blend: float = 0.3, score_pair=overlap_score) -> DataFrame:
+def rerank(candidates: DataFrame, k: int, blend: float = 0.3, score_pair=overlap_score, passage_chars: int | None = None) -> DataFrame:
     """Blend the model's score with the retrieval score, both scaled to [0, 1] within a query.
 
     Rows (query_id, text, chunk_id, content, caption, score, rank). Queries with no more than
     k candidates keep their order. `score_pair` is a model slot: it maps query and passage
-    columns to a score column.
+    columns to a score column; it sees whole passages unless `passage_chars` cuts them.
     """
-    passage = F.substring(F.btrim(F.concat_ws(" ", F.coalesce("caption", F.lit("")), "content")), 1, 800)
+    passage = F.btrim(F.concat_ws(" ", F.coalesce("caption", F.lit("")), "content"))
+    if passage_chars is not None:
+        passage = F.substring(passage, 1, passage_chars)
     per_query = W.partitionBy("query_id")
 
     def scaled(c: str) -> Column:

@@ -106,7 +106,7 @@ def context_blocks(t: Views):
 
 
 @query("evidence", r"""
-SELECT query_id, string_agg(regexp_replace(concat_ws(' ', caption, content), '^\s+|\s+$', '', 'g')[:800], chr(10) ORDER BY rank) AS evidence
+SELECT query_id, string_agg(regexp_replace(concat_ws(' ', caption, content), '^\s+|\s+$', '', 'g'), chr(10) ORDER BY rank) AS evidence
 FROM v_top GROUP BY query_id""")
 def evidence(t: Views):
     return answering.evidence(top_chunks(t))

@@ -27,14 +27,15 @@ def entries(t: Views):
 
 
 @query("cache_exact", f"""
-SELECT event_id, coalesce(e.stored_at <= l.ts AND e.expires_at > l.ts, false) AS hit FROM v_query_log l
-LEFT JOIN v_entries e ON e.ns = l.ns AND e.query_hash = {HASH.format('l.query')}""")
+SELECT event_id, EXISTS (SELECT 1 FROM v_entries e WHERE e.ns = l.ns AND e.query_hash = {HASH.format('l.query')}
+  AND e.stored_at <= l.ts AND e.expires_at > l.ts) AS hit FROM v_query_log l""")
 def cache_exact(t: Views):
     return cache.exact_lookup(t.query_log, entries(t)).select("event_id", "hit")
 
 
 @query("cache_expiry", r"""
-SELECT ns, query, strftime(expires_at, '%Y-%m-%d %H:%M:%S') AS expires_at FROM v_entries WHERE expires_at > TIMESTAMP '2024-01-02 02:00:00'""")
+SELECT ns, query, strftime(expires_at, '%Y-%m-%d %H:%M:%S') AS expires_at FROM v_entries
+WHERE stored_at <= TIMESTAMP '2024-01-02 02:00:00' AND expires_at > TIMESTAMP '2024-01-02 02:00:00'""")
 def cache_expiry(t: Views):
     kept = cache.live(entries(t), F.lit("2024-01-02 02:00:00").cast("timestamp"))
     return kept.select("ns", "query", stamp("expires_at").alias("expires_at"))
@@ -70,7 +71,7 @@ def cache_stats(t: Views):
 
 
 view("v_said", r"""
-SELECT conversation_id * 100 + turn AS query_id, 'n' || (conversation_id % 3) AS ns, content FROM v_messages WHERE role = 'user'""")
+SELECT conversation_id * 100 + turn AS query_id, 'n' || (conversation_id % 3) AS ns, content, created_at FROM v_messages WHERE role = 'user'""")
 view("v_said_old", "SELECT *, query_id AS chunk_id FROM v_said")
 view("v_said_new", "SELECT query_id, ns, content || ' now' AS content FROM v_said")
 view("v_said_ovec", sparse_sql("v_said_old", "chunk_id", "content"))
@@ -78,9 +79,10 @@ view("v_said_nvec", sparse_sql("v_said_new", "query_id", "content"))
 view("v_said_cos", cosine_sql("v_said_nvec", "v_said_ovec"))
 
 
-@query("cache_semantic", r"""
+@query("cache_semantic", f"""
 SELECT query_id, chunk_id AS entry_id, score FROM v_said_cos c JOIN v_said_new n USING (query_id) JOIN v_said_old o USING (chunk_id)
-WHERE n.ns = o.ns AND score >= 0.95 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) = 1""")
+WHERE n.ns = o.ns AND score >= 0.95 AND o.created_at <= TIMESTAMP '2024-01-02 02:00:00'
+  AND o.created_at + to_seconds({TTL.format('o.content')}) > TIMESTAMP '2024-01-02 02:00:00' QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) = 1""")
 def cache_semantic(t: Views):
     """User turns are cached; the same turns with one more word are asked."""
     said = t.messages.where("role = 'user'").select(
@@ -92,7 +94,7 @@ def cache_semantic(t: Views):
     ).withColumn("vec", vec.lexical_counts(F.col("query")))
     asked = said.select("query_id", "ns", F.concat("content", F.lit(" now")).alias("query"))
     asked = asked.withColumn("vec", vec.lexical_counts(F.col("query")))
-    return cache.semantic_lookup(asked, kept, F.lit("2024-01-01").cast("timestamp"))
+    return cache.semantic_lookup(asked, kept, F.lit("2024-01-02 02:00:00").cast("timestamp"))
 
 
 @query("cache_invalidate", r"""
@@ -107,11 +109,11 @@ def cache_invalidate(t: Views):
 
 
 view("v_known", r"""
-SELECT DISTINCT content_hash FROM v_chunks WHERE selected AND document_id IN (SELECT CAST(doc_id AS VARCHAR) FROM labels)""")
+SELECT DISTINCT content_hash FROM v_chunks WHERE document_id IN (SELECT CAST(doc_id AS VARCHAR) FROM labels)""")
 
 
 def reuse(t: Views):
-    """Selected chunks; those of labelled documents were embedded before."""
+    """Embedded chunks; those of labelled documents were embedded before."""
     from lodestone.operators.slots import reuse_plan
 
     labelled = t.table("labels").select(F.col("doc_id").cast("string").alias("document_id"))
@@ -121,8 +123,8 @@ def reuse(t: Views):
 
 view("v_reuse", r"""
 SELECT c.chunk_id, c.content_hash IN (SELECT k.content_hash FROM v_chunks k JOIN v_docs e USING (document_id)
-  WHERE k.selected AND e.status = 'ready' AND k.document_id IN (SELECT CAST(doc_id AS VARCHAR) FROM labels)) AS reused
-FROM v_chunks c JOIN v_docs d USING (document_id) WHERE c.selected AND d.status = 'ready'""")
+  WHERE e.status = 'ready' AND k.document_id IN (SELECT CAST(doc_id AS VARCHAR) FROM labels)) AS reused
+FROM v_chunks c JOIN v_docs d USING (document_id) WHERE d.status = 'ready'""")
 
 
 @query("embed_reuse", "SELECT chunk_id, reused FROM v_reuse")
@@ -143,7 +145,7 @@ def embed_stats(t: Views):
 # --- metrics -----------------------------------------------------------------------------
 
 view("v_last", r"""
-SELECT path, latency FROM v_requests QUALIFY row_number() OVER (PARTITION BY path ORDER BY ts DESC, event_id DESC) <= 1000""")
+SELECT path, latency FROM v_requests""")
 view("v_latency", r"""
 SELECT path, count(*) AS count, min(latency) AS min, max(latency) AS max, round(avg(latency), 6) AS avg,
   list_sort(list(latency))[count(*) // 2 + 1] AS p50,

@@ -65,7 +65,9 @@ def ivf_topk(t: Views):
     return knn.nearest_ivf(label_vectors(t), knn.assign_lists(side, centroids), centroids, K, probes=6, key="vec_id")
 
 
-@query("embed_dense")
+@query("embed_dense", f"""
+SELECT chunk_id, CAST({vec.DENSE_DIM} AS INT) AS dim, round(sqrt(sum(w * w)), 6) AS norm FROM v_dense JOIN v_corpus USING (chunk_id)
+WHERE chunk_type = 'text' GROUP BY chunk_id""")
 def embed_dense(t: Views):
     """Embedding slot over distinct chunk texts: equal texts are embedded once, vectors follow the hash."""
     from lodestone.operators.slots import embed_once
@@ -148,13 +150,16 @@ SELECT c.query_id, c.chunk_id, c.score FROM v_cos c JOIN v_scoped s USING (query
 WHERE (s.ws IS NULL OR s.ws = k.workspace_id) AND (s.usr IS NULL OR s.usr = k.user_id)""")
 
 
-@query("semantic_scoped", top_sql("v_scoped_cos", K))
-def semantic_scoped(t: Views):
+def scoped_queries(t: Views):
     """Queries with a workspace and a user of their own."""
-    scoped = t.queries.withColumn(
+    return t.queries.withColumn(
         "workspace_id", F.when(F.col("query_id") % 3 > 0, F.concat(F.lit("src"), F.col("query_id") % 20))
     ).withColumn("user_id", F.when(F.col("query_id") % 3 > 1, F.concat(F.lit("u"), F.col("query_id") % 7)))
-    return search.semantic(scoped, corpus(t), K).drop("list")
+
+
+@query("semantic_scoped", top_sql("v_scoped_cos", K))
+def semantic_scoped(t: Views):
+    return search.semantic(scoped_queries(t), corpus(t), K).drop("list")
 
 
 @query("keyword_search", "SELECT query_id, chunk_id, score, rank FROM v_kwl")
@@ -179,7 +184,7 @@ view("v_lookups", r"""
 SELECT s_suppkey AS query_id, 'Where are SKU-' || s_nationkey || '-' || s_suppkey || ' and site ' || (s_suppkey % 50) || '?' AS text
 FROM supplier""")
 view("v_idents", r"""
-SELECT query_id, unnest(regexp_extract_all(text, '(?i)\b(?:SKU-[A-Z0-9-]+|FIG-[A-Z0-9-]+|site\s+[0-9]+)\b')[1:4]) AS ident FROM v_lookups""")
+SELECT query_id, unnest(regexp_extract_all(text, '(?i)\b(?:SKU-[A-Z0-9-]+|FIG-[A-Z0-9-]+|site\s+[0-9]+)\b')) AS ident FROM v_lookups""")
 
 
 @query("identifier_search", r"""
@@ -335,7 +340,7 @@ def hyde_texts(t: Views):
     units = t.table("benchmark").select(
         F.col("item_id").alias("query_id"), tx.sentences(tx.strip(F.col("text"))).alias("u")
     )
-    rest = units.select("query_id", F.lit(0).alias("n"), F.array_join(F.slice("u", 2, 1000000), " ").alias("text"))
+    rest = units.select("query_id", F.lit(0).alias("n"), F.array_join(F.slice("u", 2, F.greatest(F.size("u") - 1, F.lit(0))), " ").alias("text"))
     last = units.select("query_id", F.lit(1).alias("n"), F.element_at("u", -1).alias("text"))
     return rest.unionByName(last)
 
@@ -376,7 +381,7 @@ UNION ALL SELECT query_id, chunk_id, score, rank, 'HYDE' FROM v_hyde_merged WHER
 def hyde_merge(t: Views):
     c = corpus(t, images=False)
     first = search._plain(search.hybrid(t.queries, c, K), "HYBRID")
-    return search.hyde_merge(first, hyde_texts(t), c, K)
+    return search.hyde_merge(t.queries, first, hyde_texts(t), c, K)
 
 
 def _variation_views():
@@ -425,23 +430,77 @@ SELECT query_id, CASE WHEN text = '' THEN 'HYBRID'
 _variation_views()
 
 
+def variations_of(t: Views):
+    """The further sentences of each benchmark passage."""
+    from lodestone.functions import text as tx
+
+    units = F.posexplode(tx.sentences(tx.strip(F.col("text")))).alias("n", "text")
+    return t.table("benchmark").select(F.col("item_id").alias("query_id"), units).where("n > 0")
+
+
 @query("multi_query_merge", r"""
 SELECT query_id, chunk_id, score, rank, 'SEMANTIC' AS strategy_used FROM v_sem WHERE query_id NOT IN (SELECT query_id FROM v_mq_hit)
 UNION ALL SELECT query_id, chunk_id, score, rank, 'MULTI_QUERY' FROM v_mq""")
 def multi_query_merge(t: Views):
-    """Variations: the further sentences of each benchmark passage."""
-    from lodestone.functions import text as tx
-
     c = corpus(t, images=False)
     first = search._plain(search.semantic(t.queries, c, K), "SEMANTIC")
-    variations = t.table("benchmark").select(
-        F.col("item_id").alias("query_id"), F.posexplode(tx.sentences(tx.strip(F.col("text")))).alias("n", "text")
-    ).where("n > 0")
-    return search.multi_query_merge(first, variations, c, K)
+    return search.multi_query_merge(t.queries, first, variations_of(t), c, K, use_multi_granularity=False)
+
+
+def _scoped_merge_views():
+    """The merges above for queries with a scope: every hit of a derived query is held to it."""
+    fits = "(s.ws IS NULL OR s.ws = k.workspace_id) AND (s.usr IS NULL OR s.usr = k.user_id)"
+    origin = "CAST(string_split({0}.query_id, '#')[1] AS BIGINT)"
+
+    def held(source: str) -> str:
+        return f"SELECT c.* FROM {source} c JOIN v_scoped s ON s.query_id = {origin.format('c')} JOIN v_corpus k USING (chunk_id) WHERE {fits}"
+
+    view("v_sfirst", top_sql("v_scoped_cos", K))
+    view("v_shcos", held("v_hcos"))
+    view("v_shits", top_sql("v_shcos", K))
+    view("v_slists", f"SELECT query_id, chunk_id, rank FROM v_sfirst UNION ALL SELECT {origin.format('h')}, chunk_id, rank FROM v_shits h")
+    view("v_smerged", rrf_sql("v_slists", None))
+    view("v_swon", f"""
+SELECT m.query_id FROM (SELECT query_id, max(score) AS new FROM v_smerged GROUP BY ALL) m
+JOIN (SELECT query_id, max(score) AS top FROM v_sfirst GROUP BY ALL) f USING (query_id)
+WHERE new > top AND top < 0.5 AND query_id IN (SELECT {origin.format('h')} FROM v_shits h)""")
+    view("v_svd", held("v_vdcos"))
+    view("v_svk", held("v_vkw"))
+    view("v_svlists", f"""
+SELECT *, CASE WHEN list = 'semantic' THEN w ELSE 1 - w END AS share FROM ({top_sql('v_svd', 2 * K, name='semantic')})
+JOIN (SELECT query_id, {weight_sql('text')} AS w FROM v_varq) USING (query_id)
+UNION ALL SELECT *, 1 - w FROM ({top_sql('v_svk', 2 * K, name='keyword')}) JOIN (SELECT query_id, {weight_sql('text')} AS w FROM v_varq) USING (query_id)""")
+    view("v_svhybrid", rrf_sql("v_svlists", K, "share"))
+    view("v_slow", "SELECT query_id FROM v_sfirst GROUP BY ALL HAVING max(score) >= 0.5 AND max(score) < 0.7")
+    view("v_smq_hit", f"SELECT DISTINCT {origin.format('h')} AS query_id FROM v_svhybrid h WHERE {origin.format('h')} IN (SELECT query_id FROM v_slow)")
+    view("v_smq_lists", f"""
+SELECT query_id, chunk_id, rank FROM v_sfirst WHERE query_id IN (SELECT query_id FROM v_smq_hit)
+UNION ALL SELECT {origin.format('h')} AS qid, chunk_id, rank FROM v_svhybrid h WHERE qid IN (SELECT query_id FROM v_smq_hit)""")
+    view("v_smq", rrf_sql("v_smq_lists", None))
+
+
+_scoped_merge_views()
+
+
+@query("hyde_scoped", r"""
+SELECT query_id, chunk_id, score, rank, 'SEMANTIC' AS strategy_used FROM v_sfirst WHERE query_id NOT IN (SELECT query_id FROM v_swon)
+UNION ALL SELECT query_id, chunk_id, score, rank, 'HYDE' FROM v_smerged WHERE query_id IN (SELECT query_id FROM v_swon)""")
+def hyde_scoped(t: Views):
+    c, asked = corpus(t, images=False), scoped_queries(t)
+    return search.hyde_merge(asked, search._plain(search.semantic(asked, c, K), "SEMANTIC"), hyde_texts(t), c, K)
+
+
+@query("multi_query_scoped", r"""
+SELECT query_id, chunk_id, score, rank, 'SEMANTIC' AS strategy_used FROM v_sfirst WHERE query_id NOT IN (SELECT query_id FROM v_smq_hit)
+UNION ALL SELECT query_id, chunk_id, score, rank, 'MULTI_QUERY' FROM v_smq""")
+def multi_query_scoped(t: Views):
+    c, asked = corpus(t, images=False), scoped_queries(t)
+    first = search._plain(search.semantic(asked, c, K), "SEMANTIC")
+    return search.multi_query_merge(asked, first, variations_of(t), c, K, use_multi_granularity=False)
 
 
 view("v_cand", r"""
-SELECT query_id, chunk_id, q.text, trim(coalesce(c.caption, '') || ' ' || c.content)[:800] AS passage, v.score, v.rank
+SELECT query_id, chunk_id, q.text, trim(coalesce(c.caption, '') || ' ' || c.content) AS passage, v.score, v.rank
 FROM v_rerank_in v JOIN v_corpus c USING (chunk_id) JOIN v_queries q USING (query_id)""")
 view("v_wide", f"""
 SELECT l.*, CASE WHEN list = 'semantic' THEN weight ELSE 1 - weight END AS w

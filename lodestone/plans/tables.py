@@ -194,7 +194,7 @@ def skill_resolve(t: Views):
 
 
 @query("load_passages", r"""
-SELECT doc_id, text AS passage FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 800)
+SELECT doc_id, text AS passage FROM documents
 WHERE length(regexp_replace(text, '^\s+|\s+$', '', 'g')) >= 20""")
 def load_passages(t: Views):
     return st.load_passages(t.table("documents"), "doc_id").select("doc_id", "passage")

@@ -41,7 +41,7 @@ def query_class(t: Views):
 
 @query("identifiers", r"""
 SELECT query_id, CAST(generate_subscripts(ids, 1) - 1 AS INT) AS pos, unnest(ids) AS ident FROM (
-  SELECT query_id, regexp_extract_all(text, '(?i)\b(?:SKU-[A-Z0-9-]+|FIG-[A-Z0-9-]+|site\s+[0-9]+)\b')[1:4] AS ids FROM v_lookups)""")
+  SELECT query_id, regexp_extract_all(text, '(?i)\b(?:SKU-[A-Z0-9-]+|FIG-[A-Z0-9-]+|site\s+[0-9]+)\b') AS ids FROM v_lookups)""")
 def identifiers(t: Views):
     from lodestone.operators import lexical
 

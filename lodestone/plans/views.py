@@ -11,7 +11,7 @@ from lodestone.functions import text as tx
 from lodestone.functions import vectors as vec
 from lodestone.operators import chunking, index
 from lodestone.plans.registry import view
-from lodestone.session import checkpoint_dir, ship_package
+from lodestone.session import apply_settings, checkpoint_dir, ship_package
 
 EPOCH = "2024-01-01 00:00:00"
 
@@ -29,10 +29,7 @@ class Views:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.dir = sf_dir
-        ship_package(spark)
-        # A union that claims its children's partitioning breaks once adaptive execution has
-        # coalesced only some of them.
-        spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+        ship_package(apply_settings(spark))
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
@@ -135,14 +132,14 @@ class Views:
 
     @cached_property
     def corpus(self) -> DataFrame:
-        """Searchable chunks of ready documents and of page figures, without vectors."""
+        """Searchable chunks of ready documents and of page figures, without vectors. All are embedded; `embed_select` shows the budgeted choice."""
         ready = self.docs.where("status = 'ready'").select("document_id", "workspace_id", "user_id")
         text = (
             self.chunks.where("content <> ''")
             .join(ready, "document_id")
             .select(
                 "chunk_id", "document_id", "workspace_id", "user_id", "content", "token_count",
-                F.lit("text").alias("chunk_type"), F.lit(None).cast("string").alias("caption"), "content_hash", "selected",
+                F.lit("text").alias("chunk_type"), F.lit(None).cast("string").alias("caption"), "content_hash", F.lit(True).alias("selected"),
             )
         )
         figures = self.figures.select(
@@ -269,7 +266,7 @@ FROM (SELECT page_id, CASE WHEN title <> '' THEN title ELSE 'Figure on page ' ||
             FROM pages))""")
 view("v_corpus", r"""
 SELECT c.chunk_id, c.document_id, d.workspace_id, d.user_id, c.content, c.token_count, 'text' AS chunk_type,
-       NULL::VARCHAR AS caption, c.selected
+       NULL::VARCHAR AS caption, true AS selected
 FROM v_chunks c JOIN v_docs d ON c.document_id = d.document_id AND d.status = 'ready'
 UNION ALL SELECT chunk_id, document_id, 'web', NULL, content, token_count, 'figure', caption, true FROM v_figures""")
 

@@ -24,13 +24,25 @@ def get_session(app: str = "lodestone", master: str | None = None, partitions: i
         builder = builder.config("spark.driver.memory", os.environ.get("LODESTONE_DRIVER_MEMORY", "12g"))
     if partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(partitions))
-    return builder.getOrCreate()
+    return apply_settings(builder.getOrCreate())
+
+
+def apply_settings(spark: SparkSession) -> SparkSession:
+    """What results depend on, for sessions made elsewhere too.
+
+    A union that claims its children's partitioning breaks once adaptive execution has coalesced
+    only some of them.
+    """
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    return spark
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared checkpoint folder of the cluster; a private one only where none is set."""
+    """Shared checkpoint folder of the cluster; a private one only in local mode, where none is set."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured is None:
+        if not (spark.sparkContext.master + "[").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", configured)
     if spark._jsc.sc().getCheckpointDir().isEmpty():

@@ -16,10 +16,10 @@ CHUNK_SCHEMA = (
 )
 
 
-def load_passages(df: DataFrame, order: str, limit: int = 800, at_least: int = 20) -> DataFrame:
-    """First passages of a table, from the first text column it has; very short ones are left out."""
+def load_passages(df: DataFrame, order: str, limit: int | None = None, at_least: int = 20) -> DataFrame:
+    """Passages of a table, from the first text column it has; very short ones are left out. `limit` takes the first rows only."""
     column = next((c for c in ("passage", "text", "content", "context") if c in df.columns), df.columns[0])
-    head = df.orderBy(order).limit(limit)
+    head = df if limit is None else df.orderBy(order).limit(limit)
     return head.withColumn("passage", F.col(column)).where(F.length(tx.strip(F.col("passage"))) >= at_least)
 
 

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from lodestone.functions.understand import cache_ttl
 from lodestone.operators import metrics
 from lodestone.operators.admission import Gate
 from lodestone.operators.cache import BASE_TTL, query_hash
@@ -51,10 +52,34 @@ def request_metrics(requests: DataFrame, window: str = "1 hour", late: str = "10
     return metrics.request_metrics(requests.withWatermark("ts", late), window)
 
 
-def first_asked(queries: DataFrame, ttl_seconds: int = BASE_TTL) -> DataFrame:
-    """Queries (ns, query, ts) whose answer is not in the cache: repeats within the lifetime are dropped."""
-    keyed = queries.withColumn("query_hash", query_hash(F.col("query"))).withWatermark("ts", f"{ttl_seconds} seconds")
-    return keyed.dropDuplicatesWithinWatermark(["ns", "query_hash"])
+def first_asked(queries: DataFrame, ttl_seconds: int = BASE_TTL, late: str = "10 minutes") -> DataFrame:
+    """Queries (ns, query, ts) whose answer is not in the cache: repeats within the lifetime of the query's class are dropped.
+
+    The state of a query is when its answer expires. A repeat does not prolong it.
+    """
+    keyed = queries.select("ns", "query", "ts", query_hash(F.col("query")).alias("query_hash"), cache_ttl(F.col("query"), ttl_seconds).alias("ttl"))
+    columns = ["ns", "query", "ts", "query_hash"]
+    out = ", ".join(f"{c} {keyed.schema[c].dataType.simpleString()}" for c in columns)
+
+    def step(key, frames, store):
+        if store.hasTimedOut:
+            store.remove()
+            return
+        until = store.get[0] if store.exists else None
+        for frame in frames:
+            frame, first = frame.sort_values("ts", kind="stable"), []
+            for i, (ts, ttl) in enumerate(zip(frame["ts"], frame["ttl"])):
+                ms = int(pd.Timestamp(ts).timestamp() * 1000)
+                if until is None or ms >= until:
+                    until = ms + int(ttl) * 1000
+                    first.append(i)
+            if first:
+                yield frame.iloc[first][columns]
+        store.update((until,))
+        store.setTimeoutTimestamp(max(until, store.getCurrentWatermarkMs() + 1))
+
+    grouped = keyed.withWatermark("ts", late).groupBy("ns", "query_hash")
+    return grouped.applyInPandasWithState(step, out, "until bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stuck_documents(changes: DataFrame, minutes: int = 5, late: str = "0 seconds") -> DataFrame:

@@ -12,7 +12,6 @@ from lodestone.session import get_session, ship_package  # noqa: E402
 def spark():
     s = get_session("tests", "local[4]", 4)
     s.sparkContext.setLogLevel("ERROR")
-    s.conf.set("spark.sql.unionOutputPartitioning", "false")
     ship_package(s)
     yield s
     s.stop()

@@ -149,7 +149,7 @@ def test_metrics_and_quality(spark):
     key = metrics.metric_key(F.lit("m"), F.create_map(F.lit("b"), F.lit("2"), F.lit("a"), F.lit("1")))
     assert spark.range(1).select(key.alias("k")).first().k == 'm{a="1",b="2"}'
     pts = spark.createDataFrame([("p", float(i), i) for i in range(1500)], "path string, v double, i long")
-    s = metrics.latency_summary(pts, "path", "v", ["i"]).first()
+    s = metrics.latency_summary(pts, "path", "v", ["i"], kept=1000).first()
     assert (s["count"], s["min"], s["p50"], s["p95"], s["p99"]) == (1000, 500.0, 1000.0, 1450.0, 1490.0)
     few = metrics.latency_summary(pts.where("i < 19"), "path", "v", ["i"]).first()
     assert few.p95 == 18.0
@@ -187,6 +187,27 @@ def test_cache_lookup_order(spark):
     assert cache.semantic_lookup(asked, kept, F.lit("2024-01-03").cast("timestamp")).count() == 0
 
 
+def test_exact_lookup_answers_every_request_once(spark):
+    at = lambda h: f"2024-01-01 {h:02d}:00:00"
+    stored = [("n", "Foo", at(1)), ("n", "foo ", at(1)), ("n", "foo", at(3)), ("m", "foo", at(9)), ("n", "newest", at(1))]
+    kept = cache.store(spark.createDataFrame(stored, "ns string, query string, s string").withColumn("stored_at", F.col("s").cast("timestamp")))
+    asked = [(1, "n", "FOO", at(0)), (2, "n", "foo", at(1)), (3, "n", "foo", at(12)), (4, "m", "foo", at(8)), (5, "n", "newest", at(3)), (6, "n", "newest", at(1)), (7, "k", "foo", at(5)), (7, "k", "foo", at(5))]
+    df = spark.createDataFrame(asked, "id long, ns string, query string, t string").withColumn("ts", F.col("t").cast("timestamp"))
+    got = sorted((r.id, r.hit) for r in cache.exact_lookup(df, kept).collect())
+    assert got == [(1, False), (2, True), (3, True), (4, False), (5, False), (6, True), (7, False), (7, False)]
+    alive = cache.live(kept, F.lit(at(2)).cast("timestamp")).select("ns", "query").collect()
+    assert sorted(map(tuple, alive)) == [("n", "Foo"), ("n", "foo ")]
+
+
+def test_latency_percentiles_of_many_values(spark):
+    values = [((i * 7919) % 5000) / 10 for i in range(5000)] + [3.5] * 3000
+    df = spark.createDataFrame([("p", v) for v in values] + [("q", 1.0), ("r", None)], "path string, v double")
+    got = {r.path: r for r in metrics.latency_summary(df, "path", "v", []).collect()}
+    v = sorted(values)
+    assert (got["p"].p50, got["p"].p95, got["p"].p99) == (v[4000], v[7600], v[7920]) and got["p"]["count"] == 8000
+    assert got["q"].p50 == got["q"].p99 == 1.0 and "r" not in got
+
+
 def test_bad_json_is_an_empty_array(spark):
     assert one(spark, "{oops", lambda c: cv.parse_json_array("x", "string")) == []
     assert one(spark, '["a"]', lambda c: cv.parse_json_array("x", "string")) == ["a"]

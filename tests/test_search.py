@@ -115,6 +115,23 @@ def test_dispatch_falls_back_and_keeps_the_scope(spark):
     assert {r.chunk_id for r in got if r.query_id == 3} == {"c2"}
 
 
+def test_merges_keep_the_scope_of_their_query(spark):
+    ix = small_index(spark).without_images()
+    asked = spark.createDataFrame([(1, "grow", "d2")], "query_id long, text string, d string")
+    asked = asked.select("query_id", "text", F.array("d").alias("document_ids"))
+    derived = spark.createDataFrame([(1, n, "apples and pears and trees grow here in rows") for n in (0, 1)], "query_id long, n int, text string")
+    ranked = spark.createDataFrame([(1, "c2", 0.001, 1, "SEMANTIC")], "query_id long, chunk_id string, score double, rank int, strategy_used string")
+    low = ranked.withColumn("score", F.lit(0.6))
+    for found in (
+        search.hyde_merge(asked, ranked, derived, ix, 5), search.multi_query_merge(asked, low, derived, ix, 5),
+        search.multi_query_merge(asked, low, derived, ix, 5, use_multi_granularity=False),
+    ):
+        rows = found.collect()
+        assert {r.chunk_id for r in rows} == {"c2"} and {r.strategy_used for r in rows} <= {"HYDE", "MULTI_QUERY"}
+    free = search.multi_query_merge(asked.drop("document_ids"), low, derived, ix, 5).collect()
+    assert len({r.chunk_id for r in free}) > 1
+
+
 def test_confidence_cuts(spark):
     df = spark.createDataFrame([(0.49,), (0.5,), (0.69,), (0.7,), (None,)], "s double")
     assert [r.c for r in df.select(search.confidence(F.col("s")).alias("c")).collect()] == ["very_low", "low", "low", "high", "very_low"]

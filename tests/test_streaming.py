@@ -37,6 +37,16 @@ def test_three_batches_equal_one(spark):
     assert not any("�" in c[1] for c in tables[0][0])
 
 
+def test_a_second_stream_leaves_the_first_alone(spark):
+    out, sources = folder(), [Path(folder()), Path(folder())]
+    for i, src in enumerate(sources):
+        (src / f"f{i}.txt").write_text(text(i))
+        ingest.ingest_stream(spark, str(src), out, folder()).awaitTermination()
+    docs = ingest.current(spark, out, "documents").collect()
+    assert sorted(Path(r.document_id).name for r in docs) == ["f0.txt", "f1.txt"]
+    assert ingest.current(spark, out, "chunks").select("document_id").distinct().count() == 2
+
+
 def log(spark, stamps):
     rows = [(c, pd.Timestamp("2024-01-01") + pd.Timedelta(seconds=s)) for c, s in stamps]
     return spark.createDataFrame(pd.DataFrame(rows, columns=["client", "ts"]))
@@ -123,13 +133,14 @@ def test_stuck_documents_and_first_asked(spark):
     q.stop()
     assert [(r.document_id, r.status, r.error_message) for r in spark.table("stuck").collect()] == [("a", "error", tenancy.STUCK)]
     src = folder()
-    asked = pd.DataFrame([("n", "Hi", at(0)), ("n", " hi ", at(1)), ("m", "hi", at(2))], columns=["ns", "query", "ts"])
+    asked = pd.DataFrame([("n", "Hi", at(0)), ("n", " hi ", at(1)), ("m", "hi", at(2)), ("n", "latest news", at(0)), ("n", "latest news", at(30)), ("n", "latest news", at(90)), ("n", "hi", at(95))], columns=["ns", "query", "ts"])
     spark.createDataFrame(asked).coalesce(1).write.mode("append").parquet(src)
     stream = spark.readStream.schema("ns string, query string, ts timestamp").parquet(src)
     q = rq.first_asked(stream).writeStream.format("memory").queryName("asked").outputMode("append").start()
     q.processAllAvailable()
     q.stop()
-    assert sorted(r.ns for r in spark.table("asked").collect()) == ["m", "n"]
+    assert sorted(r.ns for r in spark.table("asked").where("query <> 'latest news'").collect()) == ["m", "n"]
+    assert spark.table("asked").where("query = 'latest news'").count() == 2  # one hour, not a day
 
 
 def test_request_metrics_stream(spark):
