@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lodestone.functions import text as tx
-from lodestone.operators.sizes import broadcast_if_small
+from lodestone.operators.sizes import broadcast_if_small, is_small
 
 K1, B = 1.2, 0.75
 # Identifiers that are looked up literally.
@@ -80,8 +80,11 @@ def bm25_scores(
     document holds the query's rarest term, so the few postings of that term name all
     candidates, and only these are looked up for the other terms.
     """
+    terms = query_terms(queries)
+    # The weighted terms and the rarest ones are no more than the query terms, so only those are measured.
+    sized = F.broadcast if is_small(terms) else (lambda df: df)
     weighted = (
-        frequency.join(broadcast_if_small(query_terms(queries)), "token")
+        frequency.join(sized(terms), "token")
         .withColumn("n", stats.select("n").scalar())
         .withColumn("avgdl", stats.select("avgdl").scalar())
     )
@@ -92,10 +95,10 @@ def bm25_scores(
             F.min_by("token", F.struct("df", "token")).alias("token"), F.count("*").alias("_m"), F.first("terms").alias("_t")
         )
         rare = known.where("_m = _t").select("query_id", "token")
-        candidates = posts.select(key, "token").join(broadcast_if_small(rare), "token").select("query_id", key)
+        candidates = posts.select(key, "token").join(sized(rare), "token").select("query_id", key)
         hits = hits.join(broadcast_if_small(candidates.join(weighted, "query_id")), [key, "token"])
     else:
-        hits = hits.join(broadcast_if_small(weighted), "token")
+        hits = hits.join(sized(weighted), "token")
     scored = hits.groupBy("query_id", key, *carry).agg(
         F.sum(part).alias("score"), F.count("*").alias("matched"), F.first("terms").alias("terms")
     )

@@ -8,11 +8,8 @@ BROADCAST_BYTES = 64 << 20
 BROADCAST_ROWS = 1_000_000
 
 
-def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark `df` for broadcast if its rows were counted and measured to fit; else leave the join to the planner.
-
-    Only meant for sides that are cheap to compute. The look stops after `max_rows` rows.
-    """
+def is_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES, max_rows: int = BROADCAST_ROWS) -> bool:
+    """Whether the rows of `df`, counted and measured, fit a broadcast. Only meant for sides that are cheap to compute."""
     width = F.lit(0)
     for f in df.schema.fields:
         kind = f.dataType.simpleString()
@@ -22,5 +19,10 @@ def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES, max_rows
             width = width + F.octet_length(F.to_json(F.struct(f.name)))
         else:
             width = width + 8
-    seen = df.limit(max_rows + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("b")).first()
-    return F.broadcast(df) if seen["n"] <= max_rows and seen["b"] <= max_bytes else df
+    seen = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("b")).first()
+    return seen["n"] <= max_rows and seen["b"] <= max_bytes
+
+
+def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Mark `df` for broadcast if it was measured to fit; else leave the join to the planner."""
+    return F.broadcast(df) if is_small(df, max_bytes, max_rows) else df
