@@ -148,13 +148,13 @@ def identifier_hits(queries: DataFrame, places: DataFrame, carry: tuple[str, ...
     """Chunks that contain one of the query's identifiers, case-insensitive.
 
     An equality join instead of a contains join: the chunk side offers the prefixes of its
-    runs up to a fixed length; a longer identifier joins on that prefix and is then compared
-    in full.
+    runs in the lengths that are asked for, up to a fixed one; a longer identifier joins on
+    that prefix and is then compared in full.
     """
     wanted = queries.select("query_id", F.explode(F.array_distinct(identifiers(F.lower("text")))).alias("ident"))
     wanted = wanted.withColumn("key", F.substring("ident", 1, _PREFIX))
-    longest = F.greatest(F.least(F.length("run"), F.lit(_PREFIX)), F.lit(5))
-    prefixes = F.transform(F.sequence(F.lit(5), longest), lambda n: F.substring(F.col("run"), F.lit(1), n))
-    offered = places.select("chunk_id", *carry, "run", F.explode(prefixes).alias("key"))
+    lengths = wanted.agg(F.collect_set(F.length("key")).alias("l")).scalar()  # at most as many as a prefix is long
+    prefixes = F.transform(F.filter("lengths", lambda n: n <= F.length("run")), lambda n: F.substring(F.col("run"), F.lit(1), n))
+    offered = places.withColumn("lengths", lengths).select("chunk_id", *carry, "run", F.explode(prefixes).alias("key"))
     hits = offered.join(wanted, "key").where(F.col("run").startswith(F.col("ident")))
     return hits.select("query_id", "chunk_id", *carry).distinct().withColumn("score", F.lit(1.0))

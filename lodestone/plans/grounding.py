@@ -36,12 +36,18 @@ SELECT answer_id, turn, evidence, CAST(row_number() OVER (PARTITION BY answer_id
         lambda p: regexp_replace(p, '^\s+|\s+$', '', 'g')), lambda p: p <> '') AS parts
     FROM (SELECT answer_id, turn, evidence, regexp_replace(unnest(string_split(replace(answer, chr(13) || chr(10), chr(10)), chr(10))), '^\s+|\s+$', '', 'g') AS s,
                  generate_subscripts(string_split(replace(answer, chr(13) || chr(10), chr(10)), chr(10)), 1) AS i FROM v_answers)))""")
-view("v_labelled", f"""
+
+
+def supported_sql(claims: str) -> str:
+    return f"""
 SELECT *, len(list_filter(nums, lambda n: NOT contains(evidence, n))) = 0 AND (len(toks) = 0 OR
     len(list_filter(toks, lambda x: contains(lower(evidence), x) OR (length(x) > 4 AND contains(lower(evidence), x[:-2])))) / len(toks) >= 0.5) AS ok
 FROM (SELECT *, regexp_extract_all(claim, '[0-9]+(?:\\.[0-9]+)?') AS nums,
         list_filter(regexp_extract_all(lower(claim), '[a-z0-9]+'), lambda x: NOT list_contains({STOPS}, x) AND length(x) > 2) AS toks
-      FROM v_claims)""")
+      FROM {claims})"""
+
+
+view("v_labelled", supported_sql("v_claims"))
 
 
 @query("claims", "SELECT answer_id, pos, claim FROM v_claims")
@@ -204,13 +210,12 @@ view("v_docrank", rrf_sql("v_doclists", K))
 
 
 def gold(t: Views):
-    """Documents that hold a query's sentence: all its terms match, then the sentence itself is found."""
+    """Documents that hold a query's sentence: its rarest term names candidates, all terms match, then the sentence is found."""
     q = t.queries.where("length(text) >= 20")
     posts = lexical.postings(t.docs, "document_id", F.col("content"))
-    terms = lexical.query_terms(q)
-    full = posts.join(terms, "token").groupBy("query_id", "document_id").agg(
-        F.count("*").alias("m"), F.first("terms").alias("terms")
-    ).where("m = terms")
+    counts = lexical.document_frequency(posts.join(lexical.query_terms(q).select("token").distinct(), "token", "left_semi"))
+    stats = lexical.corpus_stats(t.docs, F.col("content"))
+    full = lexical.bm25_scores(q, posts, counts, stats, "document_id", all_terms=True).select("query_id", "document_id")
     found = full.join(t.docs.select("document_id", "content"), "document_id").join(q, "query_id")
     return found.where(F.col("content").contains(F.col("text"))).select("query_id", "document_id")
 
@@ -237,14 +242,22 @@ def eval_by_category(t: Views):
     ).drop("category")
 
 
-view("v_items", r"""
-SELECT *, CASE (turn + pos) % 3 WHEN 0 THEN 'neutral' WHEN 1 THEN 'entailment' ELSE 'contradiction' END AS label FROM v_labelled""")
+view("v_planted", r"""
+SELECT answer_id, evidence, pos, CASE WHEN kind = 0 THEN claim WHEN kind = 1 THEN first ELSE first || ' ' || length(evidence) || '077' END AS claim,
+  CASE kind WHEN 0 THEN 'neutral' WHEN 1 THEN 'entailment' ELSE 'contradiction' END AS label
+FROM (SELECT *, (turn + pos) % 3 AS kind, string_split(regexp_replace(regexp_replace(evidence, '^\s+|\s+$', '', 'g'),
+        '([.!?])\s+', '\1' || chr(30), 'g'), chr(30))[1] AS first FROM v_claims)""")
+view("v_items", supported_sql("v_planted"))
 
 
 def items(t: Views):
-    """Every claim with a gold label that follows from its position."""
+    """Planted claims with gold labels: a sentence of the evidence, the same with a number it lacks, a claim of the reply."""
+    from lodestone.functions import text as tx
+
     rows = answers(t).select("answer_id", "evidence", "turn", F.posexplode(gr.claims(F.col("answer"))).alias("pos", "claim"))
-    kind = (F.col("turn") + F.col("pos")) % 3
+    kind, first = (F.col("turn") + F.col("pos")) % 3, tx.sentences(tx.strip(F.col("evidence")))[0]
+    other = F.concat(first, F.lit(" "), F.length("evidence"), F.lit("077"))
+    rows = rows.withColumn("claim", F.when(kind == 0, F.col("claim")).when(kind == 1, first).otherwise(other))
     return rows.withColumn("label", F.when(kind == 0, "neutral").when(kind == 1, "entailment").otherwise("contradiction"))
 
 

@@ -9,13 +9,13 @@ from lodestone.plans.registry import query, view
 from lodestone.plans.retrieval import phrases_sql, weight_sql
 from lodestone.plans.views import Views
 
-# Every text a user could ask: benchmark sentences and all conversation turns.
+# Every text a user could ask: whole benchmark texts and all conversation turns.
 view("v_asked", r"""
-SELECT 'b' || query_id AS id, text FROM v_queries UNION ALL SELECT 'm' || conversation_id || '-' || turn, content FROM v_messages""")
+SELECT 'b' || item_id AS id, text FROM benchmark UNION ALL SELECT 'm' || conversation_id || '-' || turn, content FROM v_messages""")
 
 
 def asked(t: Views):
-    a = t.queries.select(F.concat(F.lit("b"), "query_id").alias("id"), "text")
+    a = t.table("benchmark").select(F.concat(F.lit("b"), "item_id").alias("id"), "text")
     b = t.messages.select(F.concat(F.lit("m"), "conversation_id", F.lit("-"), "turn").alias("id"), F.col("content").alias("text"))
     return a.unionByName(b)
 
@@ -138,11 +138,11 @@ def json_title(t: Views):
 SELECT *, CASE WHEN slug = '' THEN 'empty' WHEN length(slug) > 64 THEN 'too long'
   WHEN NOT regexp_full_match(replace(slug, '_', ''), '[\p{L}\p{N}]+') THEN 'not alphanumeric'
   WHEN slug IN (SELECT replace(lower(p_type), ' ', '_') FROM part) THEN 'reserved' END AS problem
-FROM (SELECT doc_id, replace(lower(regexp_replace(string_split(text, chr(10))[1], '^\s+|\s+$', '', 'g')), ' ', '_') AS slug FROM documents)""")
+FROM (SELECT doc_id, replace(lower(regexp_replace(text, '^\s+|\s+$', '', 'g')), ' ', '_') AS slug FROM documents)""")
 def slug(t: Views):
-    """First line of every document as a skill name; part types are the reserved names."""
+    """Every text as a skill name; part types are the reserved names."""
     from lodestone.operators.tenancy import check_names
 
-    names = t.table("documents").select("doc_id", un.slug(F.split("text", "\n")[0]).alias("slug"))
+    names = t.table("documents").select("doc_id", un.slug(F.col("text")).alias("slug"))
     reserved = t.table("part").select(un.slug(F.col("p_type")).alias("slug"))
     return check_names(names, reserved)
