@@ -118,7 +118,16 @@ def recent(conversations: DataFrame, user_id: str, workspace_id: str | None = No
 
 
 def pinned_first(conversations: DataFrame) -> DataFrame:
-    return conversations.orderBy(F.desc(F.coalesce("is_pinned", F.lit(False))), F.desc("updated_at"), "conversation_id")
+    return conversations.orderBy(*_pinned_order())
+
+
+def pinned_places(conversations: DataFrame) -> DataFrame:
+    """The same order as a place within the workspace."""
+    return conversations.withColumn("place", F.row_number().over(W.partitionBy("workspace_id").orderBy(*_pinned_order())))
+
+
+def _pinned_order() -> list:
+    return [F.desc(F.coalesce("is_pinned", F.lit(False))), F.desc("updated_at"), F.col("conversation_id")]
 
 
 def recent_per_workspace(conversations: DataFrame, n: int = 5) -> DataFrame:

@@ -126,10 +126,16 @@ view("v_large", top_sql("v_cos JOIN v_corpus USING (chunk_id) WHERE token_count
 
 
 @query("bm25_stats", r"""
-SELECT token, count(DISTINCT document_id) AS df, count(*) AS cf FROM v_dtok WHERE token IS NOT NULL GROUP BY token""")
+SELECT token, count(DISTINCT document_id) AS df, count(*) AS cf,
+  round(ln(1 + ((SELECT count(*) FROM v_docs) - count(DISTINCT document_id) + 0.5) / (count(DISTINCT document_id) + 0.5)), 6) AS idf,
+  (SELECT round(avg(dl), 6) FROM (SELECT document_id, any_value(dl) AS dl FROM v_dtok GROUP BY ALL)) AS avgdl
+FROM v_dtok WHERE token IS NOT NULL GROUP BY token""")
 def bm25_stats(t: Views):
     posts = lexical.postings(t.docs, "document_id", F.col("content"))
-    return posts.groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    stats = lexical.corpus_stats(t.docs, F.col("content"))
+    counted = posts.groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    idf = F.log(1 + (stats.select("n").scalar() - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return counted.select("token", "df", "cf", F.round(idf, 6).alias("idf"), F.round(stats.select("avgdl").scalar(), 6).alias("avgdl"))
 
 
 @query("bm25", top_sql("v_bm25", K, "document_id"))

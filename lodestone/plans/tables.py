@@ -403,9 +403,11 @@ def conv_recent(t: Views):
     return cv.recent(convs(t), "u3").select("conversation_id", "title", stamp("updated_at").alias("updated_at"))
 
 
-@query("conv_pinned", "SELECT conversation_id, is_pinned, messages FROM v_convs")
+@query("conv_pinned", r"""
+SELECT conversation_id, is_pinned, messages, CAST(row_number() OVER (
+  PARTITION BY workspace_id ORDER BY coalesce(is_pinned, false) DESC, updated_at DESC, conversation_id) AS INT) AS place FROM v_convs""")
 def conv_pinned(t: Views):
-    return cv.pinned_first(convs(t)).select("conversation_id", "is_pinned", "messages")
+    return cv.pinned_places(convs(t)).select("conversation_id", "is_pinned", "messages", "place")
 
 
 @query("conv_recent5", r"""
