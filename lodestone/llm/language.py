@@ -17,8 +17,7 @@ named columns are read.
 
 from __future__ import annotations
 
-import math
-from bisect import bisect_right
+import itertools
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -40,49 +39,92 @@ CACHED_WORDS = 400_000
 NEVER = -1e6
 
 
-def script(word: str) -> str | None:
-    """Script of a word's first letter, None if it has no letter."""
-    return next((SCRIPTS[bisect_right(_FROM, ord(c)) - 1][1] for c in word if c.isalpha()), None)
+BASE = np.uint64(0x9E3779B97F4A7C15)
+BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+GRAMS = (1, 2, 3, 4)
 
 
-def grams(word: str) -> list[str]:
-    """The word and its 1- to 4-grams with ends marked, of its letters only."""
-    plain = "".join(c for c in word if c.isalpha())
-    marked = f"<{plain}>"
-    return [marked] + [marked[i : i + n] for n in (1, 2, 3, 4) for i in range(len(marked) - n + 1) if n < len(marked)]
+def letters_of(word: str) -> str:
+    return word if word.isalpha() else "".join(filter(str.isalpha, word))
+
+
+def scripts_of(words: list[str]) -> np.ndarray:
+    """Number in SCRIPTS of the range that holds each word's first letter. No word is empty."""
+    return np.searchsorted(_FROM, [ord(w[0]) for w in words], side="right") - 1
+
+
+def _mixed(h: np.ndarray, kind: int) -> np.ndarray:
+    h = (h + np.uint64(kind)) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
+
+
+def gram_keys(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each word as a whole and of its 1- to 4-grams, ends marked; and the number of the word that each is of."""
+    code = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le"), "<u4").astype(np.uint64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    ends = np.cumsum(sizes)
+    starts, word = ends - sizes, np.repeat(np.arange(len(words)), sizes)
+    powers, inverse = (np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(len(code), b, np.uint64)])) for b in (BASE, BASE_INVERSE))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(code * powers[:-1], dtype=np.uint64)])
+    keys, owners = [_mixed((sums[ends] - sums[starts]) * inverse[starts], 0)], [np.arange(len(words))]
+    for n in GRAMS:
+        whole = np.zeros(max(0, len(code) - n + 1), np.uint64)
+        for j in range(n):
+            whole = whole * BASE + code[j : len(code) - n + 1 + j]
+        inside = (word[: len(whole)] == word[n - 1 :]) & (sizes[word[: len(whole)]] > n)
+        keys.append(_mixed(whole[inside], n))
+        owners.append(word[: len(whole)][inside])
+    return np.concatenate(keys), np.concatenate(owners)
 
 
 class Model:
+    """Log-likelihoods of the `most` frequent n-grams under each language, and the languages seen in each script range."""
+
     def __init__(self, texts: dict[str, list[str]], most: int = 60_000, floor: float = 0.5, share: float = 0.01):
         self.langs = sorted(texts)
-        counts, seen = [Counter() for _ in self.langs], [Counter() for _ in self.langs]
+        found, seen = [], np.zeros((len(SCRIPTS), len(self.langs)))
         for i, lang in enumerate(self.langs):
-            words = Counter(w for t in texts[lang] for w in t.lower().split())
-            for word, k in words.items():
-                if s := script(word):
-                    seen[i][s] += k
-                    for g in grams(word):
-                        counts[i][g] += k
-        total = sum(counts, Counter())
-        kept = [g for g, k in sorted(total.items(), key=lambda x: (-x[1], x[0]))[:most]]
-        self.rows = {g: i for i, g in enumerate(kept)}
-        table = np.array([[c[g] + floor for c in counts] for g in kept]).reshape(len(kept), len(self.langs))
-        logs = np.log(table / table.sum(axis=0, keepdims=True)) if len(kept) else table
-        self.table = (logs - logs.max(axis=1, keepdims=True)).astype(np.float32) if len(kept) else logs
-        self.scripts: dict[str, np.ndarray] = {}
-        for s in {s for c in seen for s in c}:
-            self.scripts[s] = np.array([c[s] >= share * max(1, sum(c.values())) for c in seen])
-
-    def scores(self, word: str) -> tuple[np.ndarray, int]:
-        """Log-likelihoods relative to the best language, and the number of letters."""
-        s = script(word)
-        if s is None:
-            return np.zeros(len(self.langs), np.float32), 0
-        found = [self.rows[g] for g in grams(word) if g in self.rows]
-        out = self.table[found].sum(axis=0) / math.sqrt(max(1, len(found))) if found else np.zeros(len(self.langs), np.float32)
-        if s in self.scripts and self.scripts[s].any():
-            out = np.where(self.scripts[s], out, np.float32(NEVER))
-        return out - out.max(), sum(c.isalpha() for c in word)
+            counts: Counter = Counter()
+            for word, k in Counter(w for t in texts[lang] for w in t.lower().split()).items():
+                if plain := letters_of(word):
+                    counts[plain] += k
+            words, weight = list(counts), np.array(list(counts.values()), float)
+            if words:
+                np.add.at(seen[:, i], scripts_of(words), weight)
+                keys, owner = gram_keys(words)
+                kinds, where = np.unique(keys, return_inverse=True)
+                found.append((i, kinds, np.bincount(where, weights=weight[owner])))
+        every = np.unique(np.concatenate([np.empty(0, np.uint64), *(k for _, k, _ in found)]))
+        table = np.full((len(every), len(self.langs)), floor)
+        for i, kinds, counts in found:
+            table[np.searchsorted(every, kinds), i] += counts
+        kept = np.sort(np.argsort(-table.sum(axis=1), kind="stable")[:most])
+        self.keys, table = every[kept], table[kept]
+        logs = np.log(table / np.maximum(table.sum(axis=0, keepdims=True), 1e-300))
+        self.table = logs - logs.max(axis=1, keepdims=True) if len(self.langs) else logs
+        names = np.array([name for _, name in SCRIPTS])
+        seen = np.stack([seen[names == name].sum(axis=0) for name in names])
+        self.scripts = seen >= share * np.maximum(1, sum(seen[np.argmax(names == name)] for name in set(names)))
+
+    def scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Log-likelihoods of words relative to their best language, and their numbers of letters."""
+        plain = list(map(letters_of, words))
+        letters = np.fromiter(map(len, plain), np.int32, len(plain))
+        out = np.zeros((len(words), len(self.langs)), np.float32)
+        some = np.flatnonzero(letters)
+        if not len(some) or not len(self.keys):
+            return out, letters
+        plain = [plain[i] for i in some.tolist()]
+        keys, owner = gram_keys(plain)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        known = self.keys[at] == keys
+        at, owner = at[known], owner[known]
+        sums = np.stack([np.bincount(owner, weights=self.table[at, i], minlength=len(plain)) for i in range(len(self.langs))], axis=1)
+        sums /= np.sqrt(np.maximum(1, np.bincount(owner, minlength=len(plain))))[:, None]
+        allowed = self.scripts[scripts_of(plain)]
+        sums[~allowed & allowed.any(axis=1, keepdims=True)] = NEVER
+        out[some] = sums - sums.max(axis=1, keepdims=True)
+        return out, letters
 
 
 class Tagger:
@@ -101,10 +143,9 @@ class Tagger:
         known, parts = len(self.codes), []
         for text in texts:
             parts.append(code_array(self.codes, text.lower().split()))
-        fresh = [self.model.scores(w) for w in list(self.codes)[known:]]
-        if fresh:
-            self.table = np.concatenate([self.table, np.array([s for s, _ in fresh], np.float32)])
-            self.letters = np.concatenate([self.letters, np.array([n for _, n in fresh], np.int32)])
+        if len(self.codes) > known:
+            table, letters = self.model.scores(list(itertools.islice(self.codes, known, None)))
+            self.table, self.letters = np.concatenate([self.table, table]), np.concatenate([self.letters, letters])
         return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
 
     def label(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
