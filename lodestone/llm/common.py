@@ -27,6 +27,19 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """The same columns as c0, c1, ...: whatever they were called, no name can clash with an operator's own."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
+def free_name(df: DataFrame, wish: str) -> str:
+    """`wish`, with underscores in front until no column is called so."""
+    taken = {c.lower() for c in df.columns}
+    while wish.lower() in taken:
+        wish = "_" + wish
+    return wish
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """`mapInArrow` with this package importable in the workers."""
     ship_package(df.sparkSession)

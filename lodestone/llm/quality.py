@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lodestone.llm.common import crc_remainder, map_arrow, read_table, slices
+from lodestone.llm.common import crc_remainder, map_arrow, numbered, read_table, slices
 
 BUCKETS, RANK, BINS = 1 << 14, 6, 10
 CACHED_WORDS = 500_000
@@ -184,9 +184,8 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             scores = model.score([features(t, m, buckets) for t, m in zip(texts, rows)]) if model and texts else np.full(len(texts), 0.5)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*(f"c{i}" for i in range(batch.num_columns)), "score"])
 
-    inner = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # names that cannot clash
     schema = ", ".join([*(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields)), "score double"])
-    return map_arrow(inner, run, schema).toDF(*docs.columns, name)
+    return map_arrow(numbered(docs), run, schema).toDF(*docs.columns, name)
 
 
 THRESHOLD = 0.3

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lodestone.llm.common import read_table
+from lodestone.llm.common import numbered, read_table
 
 SPACES = " \t\r\x0b\x0c"
 
@@ -45,22 +45,18 @@ def boilerplate(pages: DataFrame, text_col: str, host_col: str, max_ratio: float
     return high.groupBy("host").agg(F.collect_list("line").alias("lines"))
 
 
-def drop_lines(pages: DataFrame, text_col: str = "text", host_col: str = "source", max_ratio: float = 0.1, min_pages: int = 5, salts: int = 32) -> DataFrame:
-    """`pages` with `text_col` freed of boilerplate lines, and a struct `_lines` of (total, dropped) as last column."""
+def drop_lines(pages: DataFrame, text_col: str = "text", host_col: str = "source", max_ratio: float = 0.1, min_pages: int = 5, salts: int = 32, name: str = "_lines") -> DataFrame:
+    """`pages` with `text_col` freed of boilerplate lines, and a struct `name` of (total, dropped) as last column."""
     rules = boilerplate(pages, text_col, host_col, max_ratio, min_pages)
     rules = rules.select(F.col("host").alias("_host"), F.col("lines").alias("_rules"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
-    salt = F.pmod(F.xxhash64(F.col(text_col)), F.lit(salts)).cast("int")
-    held = pages.withColumns({"_host": F.coalesce(F.col(host_col).cast("string"), F.lit("")), "_salt": salt})
+    text, host = (F.col(f"c{pages.columns.index(c)}") for c in (text_col, host_col))
+    held = numbered(pages).withColumns({"_host": F.coalesce(host.cast("string"), F.lit("")), "_salt": F.pmod(F.xxhash64(text), F.lit(salts)).cast("int")})
     joined = held.join(rules, ["_host", "_salt"], "left")
-    kept = F.filter(_lines(F.col(text_col)), lambda x: ~F.array_contains(F.col("_rules"), _codes(F.array(_trimmed(x)))[0]))
-    cut = joined.withColumn("_kept", F.when(F.col("_rules").isNull(), _lines(F.col(text_col))).otherwise(kept))
-    sizes = F.struct(
-        F.coalesce(F.size(_lines(F.col(text_col))), F.lit(0)).cast("long").alias("total"),
-        F.coalesce(F.size(_lines(F.col(text_col))) - F.size("_kept"), F.lit(0)).cast("long").alias("dropped"),
-    )
-    out = cut.withColumn("_lines", F.when(F.col(text_col).isNull(), F.struct(F.lit(0).cast("long").alias("total"), F.lit(0).cast("long").alias("dropped"))).otherwise(sizes))
-    names = [F.array_join("_kept", "\n").alias(c) if c == text_col else F.col(f"`{c}`") for c in pages.columns]
-    return out.select(*names, "_lines")
+    kept = F.filter(_lines(text), lambda x: ~F.array_contains(F.col("_rules"), _codes(F.array(_trimmed(x)))[0]))
+    cut = joined.withColumn("_kept", F.when(F.col("_rules").isNull(), _lines(text)).otherwise(kept))
+    total, left = (F.coalesce(F.size(c), F.lit(0)).cast("long") for c in (_lines(text), F.col("_kept")))
+    columns = [(F.array_join("_kept", "\n") if c == text_col else F.col(f"c{i}")).alias(c) for i, c in enumerate(pages.columns)]
+    return cut.select(*columns, F.struct(total.alias("total"), (total - left).alias("dropped")).alias(name))
 
 
 def op7_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

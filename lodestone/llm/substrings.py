@@ -10,7 +10,7 @@ every document through every shard would cost documents times shards; by seeds a
 
 A seed with one content has an automaton of one path, on which every window occurs as often as the content, so no
 automaton is built. A seed with more than `shard_contents` contents is not gathered in a task: its windows, which all
-hold the seed at a known offset, are counted by hash, pre-aggregated like any other count.
+hold the seed at a known offset, are counted by hash, combined in each task before they are shuffled.
 
 Texts are keyed by a hash of 64 bits and their length, so copies share one result. Runs carry hashes only; words are
 read again for the runs that need an automaton. What is stored is a few numbers for each of the runs, about one for
@@ -28,10 +28,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lodestone.llm.common import map_arrow, ranges, read_table, slices, store
+from lodestone.llm.common import map_arrow, numbered, ranges, read_table, slices, store
 
 SEED_WORDS = 6
 CACHED_WORDS = 500_000
+HELD_WINDOWS = 200_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 RUN_BITS = 6  # a run has at most window - SEED_WORDS + 1 windows
@@ -213,10 +214,22 @@ def _flag_batch(rows: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["h", "c", "bits"])
 
 
+def _combined(parts: list) -> pa.RecordBatch:
+    """One row for each different window of what a task holds: its seed, hash, number of occurrences and places."""
+    h, c, t, size, start, copies = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((c, h))
+    h, c = h[order], c[order]
+    first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])]))
+    places = pa.StructArray.from_arrays([pa.array(x[order]) for x in (t, size, start)], names=["t", "size", "start"])
+    lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(h)), pa.int32()), places)
+    return pa.RecordBatch.from_arrays([pa.array(h[first]), pa.array(c[first]), pa.array(np.add.reduceat(copies[order], first)), lists], names=["h", "c", "n", "places"])
+
+
 def repeats(docs: DataFrame, text_col: str = "text", window: int = 35, shard_contents: int = 1000) -> DataFrame:
     """t, size, kept, n_removed, spans (first, words): one row for each different text that loses words."""
     runs = store(all_runs(docs, text_col, window), "runs")
     seeds = runs.groupBy("h").agg(F.count("*").alias("seen"), (F.min("c") == F.max("c")).alias("single")).filter("seen > 1").select("h", "single")
+    seeds = store(seeds, "seeds")  # as a side of its own, so that the join can split a hot seed
     shared = store(runs.join(seeds, "h"), "shared")
     mixed = shared.filter("NOT single")
     contents = store(mixed.groupBy("h", "c").agg(F.count("*").alias("m"), F.min(F.struct("t", "size", "run")).alias("at")), "contents")
@@ -244,9 +257,8 @@ def repeats(docs: DataFrame, text_col: str = "text", window: int = 35, shard_con
     flags = store(_shard_flags(with_words, window), "flags")
 
     def single_windows(batches):
-        known = Hashes()
+        known, parts, held = Hashes(), [], 0
         for batch in slices(batches, 500):
-            parts = []
             for t, size, text, copies, found in zip(*(x.to_pylist() for x in batch.columns)):
                 words = text.encode().split()
                 hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
@@ -256,19 +268,23 @@ def repeats(docs: DataFrame, text_col: str = "text", window: int = 35, shard_con
                 h = np.repeat(np.array([one["h"] for one in found], np.int64), count)
                 c = content_hashes(hashes, start, np.full(len(start), window, np.int64)).view(np.int64)
                 parts.append((h, c, np.full(len(h), t, np.int64), np.full(len(h), size, np.int32), start, np.full(len(h), copies, np.int64)))
-            if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], names=["h", "c", "t", "size", "start", "copies"])
+                held += len(h)
+            if held > HELD_WINDOWS:
+                yield _combined(parts)
+                parts, held = [], 0
+        if held:
+            yield _combined(parts)
 
     windows = texts.filter("crowded IS NOT NULL").select("t", "size", "text", "copies", "crowded")
-    windows = store(map_arrow(windows, single_windows, "h long, c long, t long, size int, start long, copies long"), "windows")
-    often = windows.groupBy("h", "c").agg(F.sum("copies").alias("n")).filter("n > 1").select("h", "c")
+    windows = store(map_arrow(windows, single_windows, "h long, c long, n long, places array<struct<t long, size int, start long>>"), "windows")
+    often = windows.groupBy("h", "c").agg(F.sum("n").alias("n")).filter("n > 1").select("h", "c")
 
     all_bits = F.expr(f"shiftleft(1L, cast(run & {(1 << RUN_BITS) - 1} as int)) - 1")
     first = F.expr(f"shiftright(run, {RUN_BITS})").alias("start")
     found = [
         shared.filter("single").select("t", "size", first, all_bits.alias("bits")),
         mixed.join(flags.filter("bits <> 0"), ["h", "c"]).select("t", "size", first, "bits"),
-        windows.join(often, ["h", "c"]).select("t", "size", "start", F.lit(1).cast("long").alias("bits")),
+        windows.join(often, ["h", "c"]).select(F.inline("places")).select("t", "size", "start", F.lit(1).cast("long").alias("bits")),
     ]
     spots = found[0].unionByName(found[1]).unionByName(found[2]).distinct()
     spots = spots.groupBy("t", "size").agg(F.collect_list(F.struct("start", "bits")).alias("spots"))
@@ -299,12 +315,14 @@ def repeats(docs: DataFrame, text_col: str = "text", window: int = 35, shard_con
 SPACES = r"[\x20\x09-\x0D]+"
 
 
-def clean(docs: DataFrame, text_col: str = "text", window: int = 35, shard_contents: int = 1000) -> DataFrame:
-    """`docs` with `text_col` freed of repeated windows where it has any, and the removed spans as last column `_spans`."""
+def clean(docs: DataFrame, text_col: str = "text", window: int = 35, shard_contents: int = 1000, name: str = "_spans") -> DataFrame:
+    """`docs` with `text_col` freed of repeated windows where it has any, and the removed spans as last column `name`."""
     lost = store(repeats(docs, text_col, window, shard_contents), "repeats").select(F.col("t").alias("_t"), F.col("size").alias("_size"), F.col("kept").alias("_kept"), F.col("spans").alias("_spans"))
-    t, size = text_key(F.col(text_col))
-    met = docs.withColumns({"_t": t, "_size": size}).join(lost, ["_t", "_size"], "left")
-    return met.select(*(F.coalesce("_kept", F.col(f"`{c}`")).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns), F.coalesce("_spans", F.array().cast(lost.schema["_spans"].dataType)).alias("_spans"))
+    text = F.col(f"c{docs.columns.index(text_col)}")
+    t, size = text_key(text)
+    met = numbered(docs).withColumns({"_t": t, "_size": size}).join(lost, ["_t", "_size"], "left")
+    columns = [(F.coalesce("_kept", text) if c == text_col else F.col(f"c{i}")).alias(c) for i, c in enumerate(docs.columns)]
+    return met.select(*columns, F.coalesce("_spans", F.array().cast(lost.schema["_spans"].dataType)).alias(name))
 
 
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
