@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from lodestone.llm.common import lower_ascii, read_table, store
+from lodestone.llm.common import lower_ascii, numbered, read_table, store
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -55,12 +55,15 @@ def occurrences(texts: DataFrame, keyed: DataFrame) -> DataFrame:
     each = texts.select("digest", words_of(F.col("text")).alias("w")).select("digest", F.size("w").alias("n"), F.posexplode("w").alias("pos", "key"))
     near = each.join(keys, "key", "left_semi").join(keyed.select("key", "at", "wid", F.size("win").alias("size")), "key").withColumn("start", F.col("pos") - F.col("at"))
     near = store(near.filter("start >= 0 AND start + size <= n").select("digest", "start", "wid").distinct(), "candidates")
-    met = near.join(keyed.select("wid", "win"), "wid").join(texts, "digest").withColumn("w", words_of(F.col("text")))
-    return met.filter(F.slice("w", F.col("start") + 1, F.size("win")) == F.col("win")).select("digest", "start", F.size("win").alias("size"), "wid").distinct()
+    listed = near.join(keyed.select("wid", "win"), "wid").groupBy("digest").agg(F.collect_list(F.struct("start", "wid", "win")).alias("near"))
+    met = listed.join(texts, "digest").groupBy("digest").agg(F.first("text").alias("text"), F.first("near").alias("near"))
+    # the words are bound once for each text; as a plain column they would be split anew for each candidate
+    found = F.transform(F.array(words_of(F.col("text"))), lambda w: F.filter("near", lambda c: F.slice(w, c["start"] + 1, F.size(c["win"])) == c["win"]))[0]
+    return met.select("digest", F.explode(found).alias("c")).select("digest", "c.start", F.size("c.win").alias("size"), "c.wid")
 
 
-def contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10) -> DataFrame:
-    """`docs` with a struct `_hits` as last column: n_words, n_hit (words inside windows of items), items (their ids as sorted strings)."""
+def contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, name: str = "_hits") -> DataFrame:
+    """`docs` with a struct `name` as last column: n_words, n_hit (words inside windows of items), items (their ids as sorted strings)."""
     digest = F.md5(F.col(text_col).cast("binary"))
     texts = docs.select(digest.alias("digest"), F.col(text_col).alias("text")).filter("text IS NOT NULL")
     windows = store(item_windows(items, item_id, item_text, window), "windows")
@@ -72,11 +75,12 @@ def contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
     named = found.select("digest", "wid").distinct().join(windows.select("wid", "item").distinct(), "wid")
     listed = named.groupBy("digest").agg(F.array_sort(F.collect_set("item")).alias("items"))
     hits = store(covered.join(listed, "digest").select(F.col("digest").alias("_digest"), F.col("n_hit").alias("_n_hit"), F.col("items").alias("_items")), "hits")
-    rows = docs.withColumns({"_digest": digest, "_n_words": F.coalesce(F.size(words_of(F.col(text_col))), F.lit(0)).cast("long")})
+    text = F.col(f"c{docs.columns.index(text_col)}")
+    rows = numbered(docs).withColumns({"_digest": F.md5(text.cast("binary")), "_n_words": F.coalesce(F.size(words_of(text)), F.lit(0)).cast("long")})
     struct = F.struct(
         F.col("_n_words").alias("n_words"), F.coalesce("_n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("_items", F.array().cast("array<string>")).alias("items")
     )
-    return rows.join(hits, "_digest", "left").select(*(F.col(f"`{c}`") for c in docs.columns), struct.alias("_hits"))
+    return rows.join(hits, "_digest", "left").select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)), struct.alias(name))
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
