@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from lodestone.session import checkpoint_dir, ship_package
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+BATCH_ROWS = "1000"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -41,8 +42,9 @@ def free_name(df: DataFrame, wish: str) -> str:
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """`mapInArrow` with this package importable in the workers."""
+    """`mapInArrow` with this package importable in the workers and batches that are small for long texts too."""
     ship_package(df.sparkSession)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return df.mapInArrow(fn, schema)
 
 

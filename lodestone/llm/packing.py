@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from lodestone.llm.common import WordCodes, code_array, map_arrow, ranges, read_table, slices, store
 
-CACHED_WORDS = 500_000
+CACHED_WORDS = 250_000
 JOINED_WORDS = 200
 
 

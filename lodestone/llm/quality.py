@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from lodestone.llm.common import crc_remainder, map_arrow, numbered, read_table, slices
 
 BUCKETS, RANK, BINS = 1 << 14, 6, 10
-CACHED_WORDS = 500_000
+CACHED_WORDS = 150_000
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(c) for c in "#$%&*+/<=>@[\\]^_`{|}~"]] = True
 UPPER, LOWER, DIGIT = (np.array([lo <= i <= hi for i in range(256)]) for lo, hi in ((65, 90), (97, 122), (48, 57)))

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from lodestone.llm.common import map_arrow, numbered, ranges, read_table, slices, store
 
 SEED_WORDS = 6
-CACHED_WORDS = 500_000
+CACHED_WORDS = 250_000
 HELD_WINDOWS = 200_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
