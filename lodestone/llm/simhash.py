@@ -17,6 +17,7 @@ gives no rows; only the named columns are read.
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -129,16 +130,16 @@ WIDE_GROUPS = ((3,) * 7, (3,) * 7, (3,) * 6 + (4,))
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, text_col: str, words: int) -> DataFrame:
-    """u, shingles: sorted different shingle hashes of the wanted texts (t1, t2, u)."""
+    """n, shingles: sorted different shingle hashes of the wanted texts (t1, t2, n)."""
 
     def run(batches):
         for batch in slices(batches, 500):
             found = [np.unique(shingle_hashes(t, words)).view(np.int64) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["u", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["n", "shingles"])
 
     own = docs.select(*_text_key(text_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    met = own.join(wanted, ["t1", "t2"]).groupBy("u").agg(F.first("text").alias("text"))
-    return map_arrow(met, run, "u string, shingles array<long>")
+    met = own.join(wanted, ["t1", "t2"]).groupBy("n").agg(F.first("text").alias("text"))
+    return map_arrow(met, run, "n long, shingles array<long>")
 
 
 def _text_key(text_col: str) -> list[Column]:
@@ -148,49 +149,137 @@ def _text_key(text_col: str) -> list[Column]:
 
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Those of the pairs (a, b) whose shingle sets have that Jaccard similarity at least."""
-    met = pairs.join(sets.select(F.col("u").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("u").alias("b"), F.col("shingles").alias("y")), "b")
+    met = pairs.join(sets.select(F.col("n").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("n").alias("b"), F.col("shingles").alias("y")), "b")
     both = F.size(F.array_intersect("x", "y"))
     return met.filter(both >= F.lit(similarity) * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, distance: int = 8, groups=WIDE_GROUPS) -> DataFrame:
+#: Texts sampled for the order of shingles, and the most shingles it names. Any order gives the same result.
+SAMPLE, FREQUENT = 20_000, 131_072
+#: Rounds against one text of each shingle end when the pairs left are so many times the rows, and after STARS in any case.
+PAIRS_A_ROW, STARS = 4, 6
+
+
+def _frequent(docs: DataFrame, text_col: str, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of frequent shingles, and how many sampled texts have each."""
+
+    def run(batches):
+        for batch in slices(batches, 100):
+            found = [np.unique(shingle_hashes(t.as_py(), words)) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*found, np.empty(0, np.uint64)]).view(np.int64))], names=["s"])
+
+    every = max(1, docs.count() // SAMPLE)
+    own = docs.select(F.col(text_col).alias("text")).filter(F.pmod(_text_key(text_col)[0], F.lit(every)) == 0)
+    top = map_arrow(own, run, "s long").groupBy("s").agg(F.count("*").alias("c")).filter("c > 2").orderBy(F.desc("c"), "s").limit(FREQUENT).toArrow()
+    found, counts = top["s"].to_numpy().view(np.uint64), top["c"].to_numpy()
+    order = np.argsort(found)
+    return found[order], counts[order]
+
+
+def _prefix(kinds: np.ndarray, frequent: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a set, rare ones first: sets as similar as that share one of these at least."""
+    if not len(kinds):
+        return kinds
+    size = len(kinds) - math.ceil(similarity * len(kinds) - 1e-6) + 1
+    weight = np.zeros(len(kinds), np.int64)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, kinds), len(frequent) - 1)
+        weight = np.where(frequent[at] == kinds, counts[at], 0)
+    return kinds[np.lexsort((kinds, weight))[:size]]
+
+
+def _rooted(shared: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """Rows of `shared` with the component of their text, of shingles that lie in more than one component."""
+    own = shared.withColumn("root", F.col("n")) if roots is None else shared.join(roots.withColumnRenamed("node", "n"), "n", "left").withColumn("root", F.coalesce("root", "n"))
+    own = store(own, "rooted")
+    several = own.groupBy("s").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("s")
+    return own.join(several, "s", "left_semi")
+
+
+def _possible(similarity: float) -> Column:
+    """Whether texts of kx and ky shingles can be so similar if their first common shingle is at ix and iy."""
+    least = F.lit(similarity / (1 + similarity)) * (F.col("kx") + F.col("ky")) - 1e-6
+    return F.least(F.col("kx") - F.col("ix"), F.col("ky") - F.col("iy")) >= least
+
+
+def _star(rows: DataFrame, turn: int, similarity: float) -> DataFrame:
+    """a, b: of every text, the one it shares most first shingles with among those that stand for a shingle this turn."""
+    order = F.struct(F.xxhash64("n", F.lit(turn)).alias("h"), F.col("n").alias("m"), F.col("root").alias("other"), F.col("k").alias("ky"), F.col("i").alias("iy"))
+    heads = rows.groupBy("s").agg(F.min(order).alias("head")).select("s", "head.m", "head.other", "head.ky", "head.iy")
+    met = rows.withColumnsRenamed({"k": "kx", "i": "ix"}).join(heads, "s").filter((F.col("root") != F.col("other")) & _possible(similarity))
+    return met.groupBy("n", "m").agg(F.count("*").alias("c")).groupBy("n").agg(F.max(F.struct("c", "m")).alias("best")).select(F.col("n").alias("a"), F.col("best.m").alias("b"))
+
+
+def _across(rows: DataFrame, similarity: float) -> DataFrame:
+    """a, b: all pairs of texts of different components that share a first shingle and can be so similar."""
+    kinds = rows.select("s", "root").distinct()
+    across = kinds.withColumnRenamed("root", "rx").join(kinds.withColumnRenamed("root", "ry"), "s").filter("rx < ry")
+    x = rows.select("s", F.col("root").alias("rx"), F.col("n").alias("x"), F.col("k").alias("kx"), F.col("i").alias("ix"))
+    y = rows.select("s", F.col("root").alias("ry"), F.col("n").alias("y"), F.col("k").alias("ky"), F.col("i").alias("iy"))
+    met = across.join(x, ["s", "rx"]).join(y, ["s", "ry"]).filter(_possible(similarity))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _linked(docs: DataFrame, nodes: DataFrame, text_col: str, words: int, similarity: float) -> DataFrame | None:
+    """node, root: components of all pairs of texts that are similar, exactly."""
+    firsts = nodes.select("n", "k", F.posexplode("firsts").alias("i", "s"))
+    shared = store(firsts.join(firsts.groupBy("s").agg(F.count("*").alias("c")).filter("c > 1").select("s"), "s", "left_semi"), "shared")
+    total, links_, roots = shared.count(), None, None
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = store(pairs, "pairs")
+        wanted = pairs.select(F.col("a").alias("n")).union(pairs.select("b")).distinct().join(nodes, "n").select("n", "t.t1", "t.t2")
+        return store(_similar(pairs, store(_sets(docs, wanted, text_col, words), "sets"), similarity), "similar")
+
+    for turn in range(STARS + 1):
+        rows = store(_rooted(shared, roots), "open")
+        own = rows.groupBy("s", "root").agg(F.count("*").cast("double").alias("c")).groupBy("s").agg((F.pow(F.sum("c"), F.lit(2)) - F.sum(F.col("c") * F.col("c"))).alias("p"))
+        left = own.agg(F.coalesce(F.sum("p"), F.lit(0.0))).first()[0] / 2
+        if not left:
+            break
+        last = turn == STARS or turn and (left <= PAIRS_A_ROW * total or not found)
+        new = verified(_across(rows, similarity) if last else _star(rows, turn, similarity))
+        found = new.count()
+        links_ = new if links_ is None else links_.unionByName(new)
+        if found:
+            roots = store(components(links_), "roots")
+        if last:
+            break
+    return roots
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """`docs` with one row, that of the smallest id, of each group of exact or near copies.
 
-    Near copies are texts linked by a Jaccard similarity of their shingle sets of `similarity` at least. Candidates are
-    fingerprints at most `distance` bits apart; texts of one fingerprint are compared with one of them. All candidates
-    are verified on the full sets, but those whose texts are already connected: first one candidate of each text, then
-    what still lies between components. Null text counts as empty; empty texts are copies of each other.
+    Near copies are texts linked by a Jaccard similarity of their shingle sets of `similarity` at least. Every such pair
+    shares one of the first shingles of both sets in any fixed order, so a join by these finds all; the order is that of
+    frequency in a sample, which only saves work. First each text is compared with one of those it meets, for a few
+    rounds, as most copies are connected so; then all pairs that still lie between components. All are verified on
+    the full sets. Null text counts as empty; empty texts are copies of each other.
     """
+    frequent, counts = _frequent(docs, text_col, words)
 
     def run(batches):
-        for batch in slices(batches, 1000):
+        for batch in slices(batches, 500):
             out = []
             for t in batch.column(3):
-                hashes = shingle_hashes(t.as_py(), words)
-                kinds = np.unique(hashes)
-                out.append((xxhash.xxh3_128_hexdigest(kinds.astype("<u8").tobytes()), majority(hashes), len(kinds)))
-            columns = [pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 3, (pa.string(), pa.int64(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=["id", "t1", "t2", "u", "fp", "k"])
+                kinds = np.unique(shingle_hashes(t.as_py(), words))
+                out.append((xxhash.xxh3_128_hexdigest(kinds.astype("<u8").tobytes()), len(kinds), _prefix(kinds, frequent, counts, similarity).view(np.int64)))
+            columns = [pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 3, (pa.string(), pa.int64(), pa.list_(pa.int64())))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=["id", "t1", "t2", "u", "k", "firsts"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     own = docs.select(F.col(id_col).alias("id"), *_text_key(text_col), F.col(text_col).alias("text"))
-    marked = store(map_arrow(own, run, f"id {kind}, t1 long, t2 long, u string, fp long, k long"), "marked")
-    nodes = store(marked.groupBy("u").agg(F.min("fp").alias("fp"), F.min("k").alias("k"), F.min(F.struct("t1", "t2")).alias("t")), "nodes")
-    heads = store(nodes.filter("k > 0").groupBy("fp").agg(F.min(F.struct("u", "k")).alias("head")), "heads")
-    met = links(heads.select("fp"), distance, groups).distinct()
-    met = met.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b")
-    same = nodes.filter("k > 0").join(heads, "fp").filter("u <> head.u").select(F.col("head").alias("x"), F.struct("u", "k").alias("y"))
-    met = met.select("x", "y").unionByName(same).filter(F.least("x.k", "y.k") >= F.lit(similarity) * F.greatest("x.k", "y.k"))
-    pairs = store(met.select(F.least("x.u", "y.u").alias("a"), F.greatest("x.u", "y.u").alias("b")).distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("u")).union(pairs.select("b")).distinct().join(nodes, "u").select("u", "t.t1", "t.t2")
-    sets = store(_sets(docs, wanted, text_col, words), "sets")
-    sure = store(_similar(pairs.groupBy("b").agg(F.min("a").alias("a")), sets, similarity), "sure")
-    roots = components(sure)
-    a, b = roots.toDF("a", "ra"), roots.toDF("b", "rb")
-    open_ = pairs.join(a, "a", "left").join(b, "b", "left").filter(~F.coalesce(F.col("ra") == F.col("rb"), F.lit(False))).select("a", "b")
-    roots = components(sure.unionByName(_similar(open_, sets, similarity)))
+    marked = store(map_arrow(own, run, f"id {kind}, t1 long, t2 long, u string, k long, firsts array<long>"), "marked")
+    nodes = marked.groupBy("u").agg(F.min("k").alias("k"), F.min(F.struct("t1", "t2")).alias("t"), F.first("firsts").alias("firsts"))
+    nodes = store(nodes.withColumn("n", F.monotonically_increasing_id()), "nodes")
+    roots = _linked(docs, nodes, text_col, words, similarity)
+    named = nodes.select("u", F.col("n").alias("root"))
+    if roots is not None:
+        named = nodes.select("u", "n").join(roots.withColumnRenamed("node", "n"), "n", "left").select("u", F.coalesce("root", "n").alias("root"))
     order = F.struct(F.col("id").isNull().alias("none"), "id", "t1", "t2")
-    kept = marked.join(roots.toDF("u", "root"), "u", "left").groupBy(F.coalesce("root", "u").alias("root")).agg(F.min(order).alias("low"))
+    lows = marked.groupBy("u").agg(F.min(order).alias("low"))
+    kept = lows.join(named, "u").groupBy("root").agg(F.min("low").alias("low"))
     columns = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)))
     rows = docs.select(*_text_key(text_col), columns.alias("row"), F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id")).alias("order"))
     rows = rows.groupBy("t1", "t2").agg(F.min_by("row", "order").alias("row"))

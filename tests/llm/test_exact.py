@@ -141,6 +141,29 @@ def test_near_copies_leave_one_of_each_group(docs):
     assert sorted(r.doc_id for r in out.collect()) == sorted(set(want.values()))
 
 
+
+def kept_and_wanted(spark, texts):
+    """Ids that drop_near_copies leaves, and those that brute force leaves."""
+    sets = {i: frozenset(simhash.shingle_hashes(t, 5).tolist()) for i, t in enumerate(texts)}
+    pairs = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    df = spark.createDataFrame([(i, t, "s", len(t)) for i, t in enumerate(texts)], DOCS).repartition(3)
+    return sorted(r.doc_id for r in simhash.drop_near_copies(df).collect()), sorted(set(brute_groups(sets, pairs).values())), sets
+
+
+def test_near_copies_of_every_band_are_found(spark):
+    rng, out = random.Random(11), []
+    for edits in range(1, 12):
+        for _ in range(8):
+            w = [f"w{rng.randrange(3000)}" for _ in range(300)]
+            near = list(w)
+            for at in rng.sample(range(300), edits):
+                near[at] = f"x{rng.randrange(3000)}"
+            out += [" ".join(w), " ".join(near)]
+    got, want, sets = kept_and_wanted(spark, out)
+    bands = collections.Counter(int(20 * len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1])) for i in range(0, len(out), 2))
+    assert all(bands[b] for b in (16, 17, 18, 19)) and got == want
+
+
 def test_decontamination_equals_counting_windows(spark, docs):
     rows = docs.select("doc_id", "text").collect()
     items = [(0, texts()[1][:200]), (1, "w1 w2"), (2, ""), (3, None), (None, "w3"), (4, texts()[5]), (4, "the"), (5, "no such words")]
