@@ -16,6 +16,7 @@ gives no rows; only the named columns are read.
 
 from __future__ import annotations
 
+import gc
 import itertools
 import math
 
@@ -188,6 +189,14 @@ def _prefix(kinds: np.ndarray, frequent: np.ndarray, counts: np.ndarray, similar
     return kinds[np.lexsort((kinds, weight))[:size]]
 
 
+def _released(df: DataFrame, name: str) -> DataFrame:
+    """`df` stored; shuffle files of ended steps go now and not when the driver happens to collect its garbage."""
+    out = store(df, name)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
 def _rooted(shared: DataFrame, roots: DataFrame | None) -> DataFrame:
     """Rows of `shared` with the component of their text, of shingles that lie in more than one component."""
     own = shared.withColumn("root", F.col("n")) if roots is None else shared.join(roots.withColumnRenamed("node", "n"), "n", "left").withColumn("root", F.coalesce("root", "n"))
@@ -223,13 +232,13 @@ def _across(rows: DataFrame, similarity: float) -> DataFrame:
 def _linked(docs: DataFrame, nodes: DataFrame, text_col: str, words: int, similarity: float) -> DataFrame | None:
     """node, root: components of all pairs of texts that are similar, exactly."""
     firsts = nodes.select("n", "k", F.posexplode("firsts").alias("i", "s"))
-    shared = store(firsts.join(firsts.groupBy("s").agg(F.count("*").alias("c")).filter("c > 1").select("s"), "s", "left_semi"), "shared")
+    shared = _released(firsts.join(firsts.groupBy("s").agg(F.count("*").alias("c")).filter("c > 1").select("s"), "s", "left_semi"), "shared")
     total, links_, roots = shared.count(), None, None
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = store(pairs, "pairs")
         wanted = pairs.select(F.col("a").alias("n")).union(pairs.select("b")).distinct().join(nodes, "n").select("n", "t.t1", "t.t2")
-        return store(_similar(pairs, store(_sets(docs, wanted, text_col, words), "sets"), similarity), "similar")
+        return _released(_similar(pairs, _released(_sets(docs, wanted, text_col, words), "sets"), similarity), "similar")
 
     for turn in range(STARS + 1):
         rows = store(_rooted(shared, roots), "open")
@@ -272,7 +281,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     own = docs.select(F.col(id_col).alias("id"), *_text_key(text_col), F.col(text_col).alias("text"))
     marked = store(map_arrow(own, run, f"id {kind}, t1 long, t2 long, u string, k long, firsts array<long>"), "marked")
     nodes = marked.groupBy("u").agg(F.min("k").alias("k"), F.min(F.struct("t1", "t2")).alias("t"), F.first("firsts").alias("firsts"))
-    nodes = store(nodes.withColumn("n", F.monotonically_increasing_id()), "nodes")
+    nodes = _released(nodes.withColumn("n", F.monotonically_increasing_id()), "nodes")
     roots = _linked(docs, nodes, text_col, words, similarity)
     named = nodes.select("u", F.col("n").alias("root"))
     if roots is not None:

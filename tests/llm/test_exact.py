@@ -164,6 +164,20 @@ def test_near_copies_of_every_band_are_found(spark):
     assert all(bands[b] for b in (16, 17, 18, 19)) and got == want
 
 
+
+def test_near_copies_of_one_fingerprint_are_compared_with_each_other(spark):
+    rng, out = random.Random(12), []
+    filler = "the " * 400  # one shingle is over half of all, so that SimHashes are equal
+    for _ in range(6):
+        w = [f"w{rng.randrange(3000)}" for _ in range(150)]
+        near = list(w)
+        near[70] = "changed"
+        out += [filler + " ".join(w), filler + " ".join(near), filler + " ".join(w[:149])]
+    assert len({simhash.majority(simhash.shingle_hashes(t, 5)) for t in out}) == 1
+    got, want, _ = kept_and_wanted(spark, out)
+    assert got == want == [0, 3, 6, 9, 12, 15]
+
+
 def test_decontamination_equals_counting_windows(spark, docs):
     rows = docs.select("doc_id", "text").collect()
     items = [(0, texts()[1][:200]), (1, "w1 w2"), (2, ""), (3, None), (None, "w3"), (4, texts()[5]), (4, "the"), (5, "no such words")]
@@ -207,6 +221,7 @@ def test_site_lines_are_relative_to_their_host(spark):
     assert site_lines.drop_lines(df.limit(0)).count() == 0
 
 
+
 def test_licences_by_canonical_text(spark):
     mit = "The MIT Licence\n\nCopyright (c) 2020 Somebody\n\n" + licenses.MIT_BODY.replace("copyright holders", "COPYRIGHT OWNERS").replace('"', "''")
     rows = [(1, mit), (2, "intro\nReleased under the MIT licence!\nmore"), (3, None), (4, ""), (5, "Copyright 2020"), (6, mit + " extra"), (6, mit + " extra")]
