@@ -49,6 +49,38 @@ KNOWN = [
     ("MPL-2.0", "Licensed under the Mozilla Public License, Version 2.0."),
 ]
 
+BSD_TWO = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+"""
+BSD_THREE = "\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n"
+BSD_END = """
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+#: Further full texts. They stand apart from KNOWN, from which the check SQL is made.
+FULL = [(n, head + body) for n, title, body in (("BSD-2-Clause", "BSD 2-Clause License", BSD_TWO + BSD_END), ("BSD-3-Clause", "BSD 3-Clause License", BSD_TWO + BSD_THREE + BSD_END)) for head in ("", title + "\n\n")]
+#: Digests of the canonical forms of full texts as Debian ships them; "terms" ends with the terms and conditions.
+DIGESTS = [
+    ("Apache-2.0", "ff7be961361eda3cd2a76927dd0d9482cf45defafde2045befedf77400d98100"),
+    ("Apache-2.0", "e9dbf930ca0f1e090ec68da9a37b657d11bc9e43b30643455d6a96dbf73116ca"),  # terms
+    ("GPL-1.0-only", "37f380f152339f34a15db620545eb53f0b5c7d9e6a9542aa09ed0d22f186920f"),
+    ("GPL-1.0-only", "3b5b36de4a3801680b9eb44e80739b3aeb71c4bf6ca623ee5f87b2e2b03d3ed9"),  # terms
+    ("GPL-2.0-only", "5147a46525fc36b30edbb3469564d4930add19b5b86c56d8d58e084575fd474a"),
+    ("GPL-2.0-only", "5e9874a182b8e50f136aed39c11d5b872aaa6c94c59b0780c37559869ffd0faa"),  # terms
+    ("GPL-3.0-only", "bd8a9678cc102044334826438740622a2d2bd3bcb7254d45d9ab87e1bfced4ed"),
+    ("GPL-3.0-only", "502fa73c5788144cfc3b1b6c0f5f6f80fdf0eea24cd8697030ef964b7de67d2f"),  # terms
+    ("LGPL-2.0-only", "82b9c718a1edbbe60a4f5828e6e8c8390d714f09bfee18638761bb3f8fdff504"),
+    ("LGPL-2.0-only", "c2cefe189596f86dbbdab4ca8b161c6262f8b0d574184ce87144b676eb4e7d0a"),  # terms
+    ("LGPL-2.1-only", "8972cc10118fe8a142e8b2d34ba122d3a2c710126a256b6786246af9ae4cd5a6"),
+    ("LGPL-2.1-only", "0948f7f91046d0736fbe4b1285c1418c43656d51b8a98c2690fd48e68a51284e"),  # terms
+    ("LGPL-3.0-only", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "f77c59051c0127d677dcce7ba0d4733294974749a7b4155250912498d92767d6"),
+    ("MPL-2.0", "95f6a0d094cf3da6a140310541c7b576789031b600469b70877b34f97918e4c9"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("BSD-3-Clause", "21ce5e311a0ef74591e636cf6d0a236029bcaa0ee86324ac68d5748657aa8651"),  # of the Regents
+]
+
 
 def canonical_lines(text: Column) -> Column:
     """Canonical form of each line that is neither blank nor a copyright line."""
@@ -69,7 +101,9 @@ def known_digests(spark: SparkSession, known: list[tuple[str, str]]) -> DataFram
 def scan(docs: DataFrame, known: list[tuple[str, str]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, digest of the canonical text, license of the entire text or null, notices: sorted licences of lines."""
     spark = docs.sparkSession
-    table = known_digests(spark, KNOWN if known is None else known)
+    table = known_digests(spark, KNOWN + FULL if known is None else known)
+    if known is None:
+        table = table.unionByName(spark.createDataFrame(DIGESTS, "license string, digest string"))
     listed = table.agg(F.map_from_entries(F.collect_list(F.struct("digest", "license"))).alias("_known"))  # one row, as large as `known`
     own = docs.select(F.col(id_col), canonical_lines(F.col(text_col)).alias("_lines"))
     own = own.withColumn("digest", F.when(F.size("_lines") > 0, F.sha2(F.array_join("_lines", " "), 256)))

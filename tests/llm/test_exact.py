@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import pathlib
 import random
 import zlib
 
@@ -222,6 +223,16 @@ def test_site_lines_are_relative_to_their_host(spark):
 
 
 
+def test_full_licence_texts(spark):
+    folder = pathlib.Path("/usr/share/common-licenses")
+    files = {"Apache-2.0": "Apache-2.0", "GPL-1": "GPL-1.0-only", "GPL-2": "GPL-2.0-only", "GPL-3": "GPL-3.0-only", "LGPL-2": "LGPL-2.0-only", "LGPL-2.1": "LGPL-2.1-only", "LGPL-3": "LGPL-3.0-only", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0", "BSD": "BSD-3-Clause"}
+    rows = [(want, (folder / f).read_text()) for f, want in files.items() if (folder / f).exists()]
+    bsd = licenses.BSD_TWO.replace("above copyright notice, this list", "above copyright notice, this\n   list")
+    rows += [("BSD-2-Clause", "BSD 2-Clause License\n\nCopyright (c) 2021, Somebody\n\n" + bsd + licenses.BSD_END), ("BSD-3-Clause", "Copyright 2021 Somebody\n" + bsd + licenses.BSD_THREE + licenses.BSD_END)]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert len(got) == len(rows) and all(r.license == r.doc_id for r in got)
+
+
 def test_licences_by_canonical_text(spark):
     mit = "The MIT Licence\n\nCopyright (c) 2020 Somebody\n\n" + licenses.MIT_BODY.replace("copyright holders", "COPYRIGHT OWNERS").replace('"', "''")
     rows = [(1, mit), (2, "intro\nReleased under the MIT licence!\nmore"), (3, None), (4, ""), (5, "Copyright 2020"), (6, mit + " extra"), (6, mit + " extra")]
