@@ -62,7 +62,7 @@ def ivf_topk(t: Views):
     """Approximate neighbours; recall against the exact ones is measured in the tests."""
     side = label_side(t)
     centroids = knn.train_lists(side, lists=16)
-    return knn.nearest_ivf(label_vectors(t), knn.assign_lists(side, centroids), centroids, K, probes=6, key="vec_id")
+    return knn.nearest_ivf(label_vectors(t), knn.assign_lists(side, centroids), centroids, K, probes=12, key="vec_id")
 
 
 @query("embed_dense", f"""

@@ -79,6 +79,15 @@ def test_ivf_recall(spark):
     assert exact.join(full, ["query_id", "chunk_id"], "left_semi").count() == exact.count()
 
 
+
+def test_recall_of_registered_ivf_query(spark):
+    import __spark_entry__ as entry
+
+    exact, approx = (entry.queries()[n](spark, "/root/testdata/sf0.01") for n in ("cosine_topk", "ivf_topk"))
+    hit = exact.join(approx, ["query_id", "vec_id"], "left_semi").count()
+    assert hit / exact.count() >= 0.9
+
+
 def small_index(spark):
     rows = [
         ("c1", "d1", "w1", None, "apples grow on trees in autumn", None, 10, "text", True),
