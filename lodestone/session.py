@@ -8,6 +8,9 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
+#: Folders of local applications that name none; the setting itself is fixed once an application runs.
+_PRIVATE: dict[str, str] = {}
+
 
 def get_session(app: str = "lodestone", master: str | None = None, partitions: int | None = None) -> SparkSession:
     builder = (
@@ -43,8 +46,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if configured is None:
         if not (spark.sparkContext.master + "[").startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        configured = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", configured)
+        app = spark.sparkContext.applicationId
+        if app not in _PRIVATE:
+            _PRIVATE[app] = tempfile.mkdtemp(prefix="spark-")
+        configured = _PRIVATE[app]
     if spark._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(configured)
     return configured
