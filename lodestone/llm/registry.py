@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["url_rules", "site_lines", "licenses", "simhash", "decontaminate", "packing", "quality", "language", "neighbours", "substrings"]
+MODULES = ["url_rules", "site_lines", "licenses", "simhash", "decontaminate", "packing", "quality", "language", "neighbours", "substrings", "ranked_search", "secret_scan", "negatives"]
 
 
 def queries() -> dict:
