@@ -5,13 +5,13 @@ Built once per corpus and written as Parquet; every search reads only the column
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from dataclasses import dataclass, fields, replace
 from typing import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lodestone.functions import vectors as vec
-from lodestone.operators import lexical
+from lodestone.operators import knn, lexical
 
 SCOPE = ("document_id", "workspace_id", "user_id")
 
@@ -28,12 +28,13 @@ class Index:
     stats: DataFrame
     anchors: DataFrame
     embed: Callable[[Column], Column] = vec.lexical_counts
+    lists: knn.Lists | None = None
 
     def without_images(self) -> Index:
-        return Index(self.chunks, self.dense, None, self.postings, self.terms, self.stats, self.anchors, self.embed)
+        return replace(self, visual=None)
 
 
-PARTS = [f.name for f in fields(Index) if f.name != "embed"]
+PARTS = [f.name for f in fields(Index) if f.name not in ("embed", "lists")]
 
 
 def searchable_text() -> Column:
@@ -78,3 +79,12 @@ def write(chunks: DataFrame, path: str, embed=vec.lexical_counts) -> None:
 
 def read(spark: SparkSession, path: str, embed=vec.lexical_counts) -> Index:
     return Index(**{name: spark.read.parquet(f"{path}/{name}") for name in PARTS}, embed=embed)
+
+
+def write_lists(index: Index, path: str, lists: int | None = None) -> None:
+    """Add inverted lists of the dense vectors to a written index, for approximate search."""
+    knn.write_lists(index.dense, f"{path}/lists", "chunk_id", lists)
+
+
+def with_lists(index: Index, path: str) -> Index:
+    return replace(index, lists=knn.read_lists(index.chunks.sparkSession, f"{path}/lists"))

@@ -1,27 +1,24 @@
-"""Nearest vectors by cosine, exact and through inverted lists."""
+"""Nearest vectors by cosine: an exact join, and inverted lists that are written and pruned."""
 
 from __future__ import annotations
 
+import itertools
+import math
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lodestone.operators.lexical import top_k
 
-QUERY_BLOCK_BYTES = 64 << 20
-
-
-@dataclass
-class QueryBlock:
-    """A bounded set of query vectors, shipped to every task with the function that uses it."""
-
-    ids: np.ndarray
-    unit: np.ndarray
-    fields: dict[str, np.ndarray]
-    documents: list
-    lists: dict[int, np.ndarray] | None = None
+#: Bytes of a block of queries and of a chunk of vectors.
+BLOCK_BYTES, CHUNK_BYTES = 4 << 20, 8 << 20
+#: Groups of chunks that a block of queries is sent to.
+GROUPS = 32
+#: Rows a task holds as results before it hands them on, and blocks it keeps decoded.
+HELD_ROWS, HELD_BLOCKS = 2_000_000, 16
 
 
 def _unit(matrix: np.ndarray) -> np.ndarray:
@@ -29,40 +26,70 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
     return matrix / np.where(norms == 0, 1.0, norms)[:, None]
 
 
-def query_blocks(queries: DataFrame, scope: list[str], limit_bytes: int = QUERY_BLOCK_BYTES) -> list[QueryBlock]:
-    """Cut the query side into blocks of bounded size; a single one for usual query sets.
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    flat = pa.concat_arrays([c.flatten() for c in column.chunks]).to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(column), -1)
 
-    The number of blocks follows from a count, so no block can outgrow the limit by much:
-    rows are spread over blocks by a hash of their id.
-    """
-    extra = [c for c in ("document_ids",) if c in queries.columns]
-    cols = queries.select("query_id", "vec", *scope, *extra)
-    size = cols.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("d")).first()
-    if not size["n"]:
-        return []
-    blocks = -(-size["n"] * size["d"] * 8 // limit_bytes)
-    out = []
-    for b in range(blocks):
-        part = cols if blocks == 1 else cols.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        rows = part.orderBy("query_id").collect()
-        if not rows:
-            continue
-        matrix = np.array([r["vec"] for r in rows], dtype=np.float64)
-        keep = np.einsum("ij,ij->i", matrix, matrix) > 0
-        rows = [r for r, k in zip(rows, keep) if k]
-        out.append(
-            QueryBlock(
-                ids=np.array([r["query_id"] for r in rows], dtype=object),
-                unit=_unit(matrix[keep]),
-                fields={s: np.array([r[s] for r in rows], dtype=object) for s in scope},
-                documents=[None if not extra or not r["document_ids"] else list(r["document_ids"]) for r in rows],
-            )
-        )
-    return out
+
+def pack(rows: DataFrame, limit_bytes: int, by: str | None = None) -> DataFrame:
+    """[by,] mark, data: rows in their order as Arrow streams of bounded size, numbered; another value of the int column `by` starts a new one."""
+
+    def run(batches):
+        held, size, last = [], 0, None
+        marks = itertools.count(TaskContext.get().partitionId() << 32)
+
+        def done():
+            with pa.BufferOutputStream() as out:
+                with pa.ipc.new_stream(out, held[0].schema) as writer:
+                    for part in held:
+                        writer.write_batch(part)
+                made = [pa.array([next(marks)], pa.int64()), pa.array([out.getvalue().to_pybytes()], pa.binary())]
+            return pa.RecordBatch.from_arrays([pa.array([last], pa.int32()), *made] if by else made, names=[by, "mark", "data"] if by else ["mark", "data"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            step = max(1, limit_bytes * batch.num_rows // max(1, batch.nbytes))
+            cuts = set(range(0, batch.num_rows, step))
+            if by:
+                values = batch.column(by).to_numpy()
+                cuts |= set((np.flatnonzero(values[1:] != values[:-1]) + 1).tolist())
+            cuts = sorted(cuts)
+            for start, stop in zip(cuts, [*cuts[1:], batch.num_rows]):
+                part = batch.slice(start, stop - start)
+                if held and (by and values[start] != last or size + part.nbytes > limit_bytes):
+                    yield done()
+                    held, size = [], 0
+                last = values[start] if by else None
+                held.append(part)
+                size += part.nbytes
+        if held:
+            yield done()
+
+    return rows.mapInArrow(run, f"`{by}` int, mark long, data binary" if by else "mark long, data binary")
+
+
+@dataclass
+class Block:
+    """Queries of one block and the best rows they have found so far."""
+
+    ids: pa.ChunkedArray
+    unit: np.ndarray
+    fields: dict[str, np.ndarray]
+    documents: list
+
+    @staticmethod
+    def read(data: bytes, scope: list[str]) -> Block:
+        rows = pa.ipc.open_stream(data).read_all()
+        matrix = _matrix(rows["vec"])
+        live = np.flatnonzero(np.einsum("ij,ij->i", matrix, matrix) > 0)
+        rows = rows.take(live)
+        documents = [d or None for d in rows["document_ids"].to_pylist()] if "document_ids" in rows.column_names else [None] * len(live)
+        return Block(rows["query_id"], _unit(matrix[live]), {s: np.array(rows[s].to_pylist(), dtype=object) for s in scope}, documents)
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, allowed: np.ndarray | None, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Best k of one query in a batch; all ties at the limit compete by id."""
+    """Best k of one query in a chunk; all ties at the limit compete by id."""
     where = np.arange(len(scores)) if allowed is None else np.flatnonzero(allowed)
     s = scores[where]
     if len(s) > k:
@@ -73,66 +100,90 @@ def _best(scores: np.ndarray, ids: np.ndarray, allowed: np.ndarray | None, k: in
     return s[order], names[order]
 
 
-def _score_partition(block: QueryBlock, k: int, key: str, scope: list[str], threshold: float | None):
-    n = len(block.ids)
+def _score_chunk(block: Block, best: list, rows: pa.Table, k: int, key: str, scope: list[str], threshold: float | None) -> None:
+    """Improve `best` (scores and keys of each query of the block) by the rows of a chunk."""
+    names = np.array(rows[key].to_pylist(), dtype=object)
+    matrix = _matrix(rows["vec"])
+    live = np.flatnonzero(np.einsum("ij,ij->i", matrix, matrix) > 0)
+    if not len(live) or not len(block.unit):
+        return
+    names, scores = names[live], np.round(_unit(matrix[live]) @ block.unit.T, 6) + 0.0
+    fields = {s: np.array(rows[s].to_pylist(), dtype=object)[live] for s in scope}
+    docs = np.array(rows["document_id"].to_pylist(), dtype=object)[live].astype(str) if any(block.documents) else None
+    for j in range(len(block.unit)):
+        allowed = None
+        for s in scope:
+            want = block.fields[s][j]
+            if want is not None:
+                allowed = fields[s] == want if allowed is None else allowed & (fields[s] == want)
+        if docs is not None and block.documents[j] is not None:
+            test = np.isin(docs, block.documents[j])
+            allowed = test if allowed is None else allowed & test
+        bar = threshold if best[j] is None or len(best[j][0]) < k else best[j][0][-1]
+        if bar is not None:
+            test = scores[:, j] >= bar
+            allowed = test if allowed is None else allowed & test
+        s, found = _best(scores[:, j], names, allowed, k)
+        if len(s):
+            if best[j] is not None:
+                s, found = np.concatenate([best[j][0], s]), np.concatenate([best[j][1], found])
+                order = np.lexsort((found, -s))[:k]
+                s, found = s[order], found[order]
+            best[j] = (s, found)
+
+
+def _score_pairs(pairs: DataFrame, k: int, key: str, scope: list[str], threshold: float | None, schema: str) -> DataFrame:
+    """Best k rows of each query in every task, of pairs (mark, asked, data) of query blocks and vector chunks."""
 
     def run(batches):
-        best: list = [None] * n
+        blocks: dict[int, Block] = {}
+        best: dict[int, list] = {}
+        types: list = []
+
+        def results():
+            for mark, (ids, found) in best.items():
+                at = [j for j, b in enumerate(found) if b is not None]
+                if at:
+                    counts = [len(found[j][0]) for j in at]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            ids.take(np.repeat(at, counts)).combine_chunks(),
+                            pa.array(np.concatenate([found[j][1] for j in at]).tolist(), types[0]),
+                            pa.array(np.concatenate([found[j][0] for j in at])),
+                        ],
+                        names=["query_id", key, "score"],
+                    )
+
+        held = 0
         for batch in batches:
-            names = np.array(batch.column(key).to_pylist(), dtype=object)
-            lengths = batch.column("vec")
-            flat = lengths.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            if not len(names):
-                continue
-            matrix = flat.reshape(len(names), -1)
-            live = np.einsum("ij,ij->i", matrix, matrix) > 0
-            fields = {s: np.array(batch.column(s).to_pylist(), dtype=object) for s in scope}
-            docs = np.array(batch.column("document_id").to_pylist(), dtype=object) if any(block.documents) else None
-            if block.lists is None:
-                groups = [(np.flatnonzero(live), np.arange(n))]
-            else:
-                home = batch.column("list_id").to_numpy(zero_copy_only=False)
-                groups = [
-                    (np.flatnonzero(live & (home == g)), block.lists[g]) for g in np.unique(home) if g in block.lists
-                ]
-            for rows, asked in groups:
-                if not len(rows) or not len(asked):
-                    continue
-                scores = np.round(_unit(matrix[rows]) @ block.unit[asked].T, 6) + 0.0
-                for j, q in enumerate(asked):
-                    allowed = None
-                    for s in scope:
-                        want = block.fields[s][q]
-                        if want is not None:
-                            test = fields[s][rows] == want
-                            allowed = test if allowed is None else allowed & test
-                    if docs is not None and block.documents[q] is not None:
-                        test = np.isin(docs[rows].astype(str), block.documents[q])
-                        allowed = test if allowed is None else allowed & test
-                    if threshold is not None:
-                        test = scores[:, j] >= threshold
-                        allowed = test if allowed is None else allowed & test
-                    s, names_q = _best(scores[:, j], names[rows], allowed, k)
-                    if not len(s):
-                        continue
-                    if best[q] is not None:
-                        s = np.concatenate([best[q][0], s])
-                        names_q = np.concatenate([best[q][1], names_q])
-                        order = np.lexsort((names_q, -s))[:k]
-                        s, names_q = s[order], names_q[order]
-                    best[q] = (s, names_q)
-        done = [(block.ids[q], b) for q, b in enumerate(best) if b is not None]
-        if done:
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([qid for qid, b in done for _ in b[0]]),
-                    pa.array([x for _, b in done for x in b[1]]),
-                    pa.array(np.concatenate([b[0] for _, b in done])),
-                ],
-                names=["query_id", key, "score"],
-            )
-
-    return run
+            for mark, asked, data in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                if mark not in blocks:
+                    if len(blocks) >= HELD_BLOCKS:
+                        blocks.pop(next(iter(blocks)))
+                    blocks[mark] = Block.read(asked.as_py(), scope)
+                block = blocks[mark]
+                if mark not in best:
+                    if held > HELD_ROWS:
+                        yield from results()
+                        best.clear()
+                        held = 0
+                    best[mark] = (block.ids, [None] * len(block.unit))
+                    held += k * len(block.unit)
+                rows = pa.ipc.open_stream(data.as_py()).read_all()
+                types[:] = [rows.schema.field(key).type]
+                _score_chunk(block, best[mark][1], rows, k, key, scope, threshold)
+        yield from results()
+
+    return pairs.select("mark", "asked", "data").mapInArrow(run, schema)
+
+
+def _asked(queries: DataFrame, scope: list[str]) -> DataFrame:
+    extra = [c for c in ("document_ids",) if c in queries.columns]
+    return queries.where(F.col("vec").isNotNull()).select("query_id", "vec", *scope, *extra)
+
+
+def _needed(queries: DataFrame, key: str, scope: list[str]) -> list[str]:
+    return [key, "vec", *scope, *(["document_id"] if "document_ids" in queries.columns else [])]
 
 
 def nearest(
@@ -142,35 +193,37 @@ def nearest(
     key: str = "chunk_id",
     scope: tuple[str, ...] = (),
     threshold: float | None = None,
-    limit_bytes: int = QUERY_BLOCK_BYTES,
+    limit_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """Exact k nearest vectors of every query: (query_id, key, score, rank).
 
-    Each task multiplies its vectors with a block of queries and keeps k per query, so only
-    k rows per query and task are shuffled and no pair is ever a row. Columns in `scope` must
-    be equal where the query sets them; `document_ids` on the query side restricts documents.
-    Zero vectors never match.
+    Both sides stay tables and nothing runs before the result is asked for. Queries are packed into
+    blocks, vectors into chunks, which are dealt into groups; blocks meet the groups in an equality
+    join, so the planner broadcasts blocks that it knows to be small and shuffles chunks by group
+    otherwise. A task multiplies blocks with chunks and keeps k per query, so no pair is ever a row.
+    Columns in `scope` must be equal where the query sets them; `document_ids` on the query side
+    restricts documents. Null and zero vectors never match.
     """
     scope_l = [s for s in scope if s in queries.columns]
-    blocks = query_blocks(queries, scope_l, limit_bytes)
-    return _search(queries, vectors, blocks, k, key, scope_l, threshold)
-
-
-def _search(queries, vectors, blocks, k, key, scope, threshold, extra=()):
-    qtype = queries.schema["query_id"].dataType.simpleString()
-    ktype = vectors.schema[key].dataType.simpleString()
-    schema = f"query_id {qtype}, {key} {ktype}, score double"
-    need = [key, "vec", *scope, *extra]
-    if "document_ids" in queries.columns:
-        need.append("document_id")
-    side = vectors.where(F.col("vec").isNotNull()).select(*need)
-    found = None
-    for block in blocks:
-        part = side.mapInArrow(_score_partition(block, k, key, scope, threshold), schema)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = queries.sparkSession.createDataFrame([], schema)
-    return top_k(found, k, key)
+    side = vectors.where(F.col("vec").isNotNull()).select(*_needed(queries, key, scope_l))
+    chunks = pack(side, CHUNK_BYTES).select(F.pmod(F.xxhash64("mark"), F.lit(GROUPS)).alias("g"), "data")
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(GROUPS - 1).cast("long"))).alias("g")
+    blocks = pack(_asked(queries, scope_l), limit_bytes).select("mark", F.col("data").alias("asked"), each)
+    return top_k(_score_pairs(chunks.join(blocks, "g"), k, key, scope_l, threshold, _schema(queries, vectors, key)), k, key)
+
+
+def _schema(queries: DataFrame, vectors: DataFrame, key: str) -> str:
+    return f"query_id {queries.schema['query_id'].dataType.simpleString()}, `{key}` {vectors.schema[key].dataType.simpleString()}, score double"
+
+
+@dataclass
+class Lists:
+    """Inverted lists: `centroids` (list_id, vec), `chunks` (list_id, data), an empty table with the columns of the vectors, and their key."""
+
+    centroids: DataFrame
+    chunks: DataFrame
+    vectors: DataFrame
+    key: str
 
 
 def train_lists(vectors: DataFrame, lists: int = 100, seed: int = 7, max_iter: int = 10) -> np.ndarray:
@@ -178,19 +231,26 @@ def train_lists(vectors: DataFrame, lists: int = 100, seed: int = 7, max_iter: i
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    points = vectors.select(array_to_vector(unit_vector(F.col("vec"))).alias("features"))
+    points = _units(vectors).select(array_to_vector("vec").alias("features"))
     model = KMeans(k=lists, seed=seed, maxIter=max_iter, initMode="random", distanceMeasure="cosine").fit(points)
     return _unit(np.array(model.clusterCenters()))
 
 
-def unit_vector(v: Column) -> Column:
-    from lodestone.functions.vectors import norm
+def _units(vectors: DataFrame) -> DataFrame:
+    """vec: the vectors at unit length, zero vectors left out."""
 
-    return F.transform(v, lambda x: x.cast("double") / F.when(norm(v) == 0, 1.0).otherwise(norm(v)))
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                matrix = _matrix(pa.chunked_array([batch.column("vec")]))
+                matrix = _unit(matrix[np.einsum("ij,ij->i", matrix, matrix) > 0])
+                yield pa.RecordBatch.from_arrays([pa.array(list(matrix), pa.list_(pa.float64()))], names=["vec"])
+
+    return vectors.where(F.col("vec").isNotNull()).select("vec").mapInArrow(run, "vec array<double>")
 
 
 def assign_lists(vectors: DataFrame, centroids: np.ndarray) -> DataFrame:
-    """Add `list_id`, the nearest centroid; write the result partitioned by it to let probes skip files."""
+    """Add `list_id`, the nearest centroid."""
     names = vectors.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in vectors.schema) + ", list_id int"
 
@@ -205,26 +265,53 @@ def assign_lists(vectors: DataFrame, centroids: np.ndarray) -> DataFrame:
     return vectors.mapInArrow(run, schema)
 
 
-def nearest_ivf(
-    queries: DataFrame,
-    indexed: DataFrame,
-    centroids: np.ndarray,
-    k: int,
-    probes: int = 10,
-    key: str = "chunk_id",
-    scope: tuple[str, ...] = (),
-) -> DataFrame:
-    """Approximate nearest vectors: only lists near a query are scored.
+def write_lists(vectors: DataFrame, path: str, key: str = "chunk_id", lists: int | None = None, most_lists: int = 1024, sample: int = 100_000, iterations: int = 8) -> None:
+    """Write inverted lists of `vectors` (key, vec, and what searches may need besides) below `path`.
 
-    Rows stay where they are; a list that holds a large share of the data is scored by all
-    tasks that hold a part of it.
+    Centroids come from the vectors of the smallest key hashes, 32 for each list, at most `sample`. Every vector is written, packed into chunks of
+    its list, in a folder of the list; a list that holds a large share is written and read by several tasks. Without
+    `lists` their number follows the size of the data: twelve times its square root, up to `most_lists`.
+    """
+    spark = vectors.sparkSession
+    live = vectors.where(F.col("vec").isNotNull() & F.exists("vec", lambda x: x != 0))
+    if lists is None:
+        lists = min(most_lists, math.ceil(12 * math.sqrt(live.count())))
+    drawn = live.orderBy(F.xxhash64(key)).limit(min(sample, 32 * lists)).select("vec")
+    if lists > 1:
+        centers = train_lists(drawn, lists, max_iter=iterations)
+    else:
+        centers = [_unit(np.array([r["vec"]], dtype=np.float64))[0] for r in drawn.limit(1).collect()]
+    table = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centers)], "list_id int, vec array<double>")
+    table.coalesce(1).write.mode("overwrite").parquet(f"{path}/centroids")
+    _list_chunks(assign_lists(live, np.array(centers))).write.mode("overwrite").partitionBy("list_id").parquet(f"{path}/chunks")
+    vectors.limit(0).write.mode("overwrite").parquet(f"{path}/columns")
+
+
+def _list_chunks(homed: DataFrame) -> DataFrame:
+    """list_id, data: chunks of one list each; rebalancing splits a hot list over tasks and joins small ones."""
+    return pack(homed.hint("rebalance", "list_id").sortWithinPartitions("list_id"), CHUNK_BYTES, "list_id").drop("mark")
+
+
+def read_lists(spark: SparkSession, path: str, key: str = "chunk_id") -> Lists:
+    chunks = spark.read.schema("data binary, list_id int").parquet(f"{path}/chunks")
+    return Lists(spark.read.parquet(f"{path}/centroids"), chunks, spark.read.parquet(f"{path}/columns"), key)
+
+
+def nearest_lists(queries: DataFrame, lists: Lists, k: int, probes: int = 10, scope: tuple[str, ...] = (), limit_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Approximate nearest vectors, as `nearest`: only the `probes` lists nearest to a query are scored.
+
+    The probes are a join with the centroids. The lists that any query probes, no more than there are lists, are
+    broadcast and prune the folders to read; queries meet the chunks of their lists by list, and the planner splits a list that is hot.
     """
     scope_l = [s for s in scope if s in queries.columns]
-    blocks = query_blocks(queries, scope_l)
-    probed: set[int] = set()
-    for block in blocks:
-        near = np.argsort(-(block.unit @ centroids.T), axis=1, kind="stable")[:, :probes]
-        block.lists = {int(g): np.flatnonzero((near == g).any(axis=1)) for g in np.unique(near)}
-        probed |= set(block.lists)
-    side = indexed.where(F.col("list_id").isin(sorted(probed)))
-    return _search(queries, side, blocks, k, key, scope_l, None, extra=("list_id",))
+    probed = nearest(queries.select("query_id", "vec"), lists.centroids, probes, key="list_id").select("query_id", "list_id")
+    asked = _asked(queries, scope_l).join(probed, "query_id")
+    blocks = pack(asked.hint("rebalance", "list_id").sortWithinPartitions("list_id"), limit_bytes, "list_id").withColumnRenamed("data", "asked")
+    read = lists.chunks.join(F.broadcast(probed.select("list_id").distinct()), "list_id", "left_semi")
+    return top_k(_score_pairs(read.join(blocks, "list_id"), k, lists.key, scope_l, None, _schema(queries, lists.vectors, lists.key)), k, lists.key)
+
+
+def nearest_ivf(queries: DataFrame, indexed: DataFrame, centroids: np.ndarray, k: int, probes: int = 10, key: str = "chunk_id", scope: tuple[str, ...] = ()) -> DataFrame:
+    """`nearest_lists` over vectors that have their `list_id` but are not written."""
+    table = queries.sparkSession.createDataFrame([(i, c.tolist()) for i, c in enumerate(centroids)], "list_id int, vec array<double>")
+    return nearest_lists(queries, Lists(table, _list_chunks(indexed), indexed.limit(0), key), k, probes, scope)

@@ -52,7 +52,12 @@ def embedded(queries: DataFrame, corpus: Index) -> DataFrame:
     return queries.withColumn("vec", corpus.embed(F.col("text")))
 
 
-def semantic(queries: DataFrame, corpus: Index, k: int, size: Column | None = None) -> DataFrame:
+def semantic(queries: DataFrame, corpus: Index, k: int, size: Column | None = None, approximate: bool = False, probes: int = 10) -> DataFrame:
+    """Nearest chunks; `approximate` reads only the `probes` inverted lists nearest to a query."""
+    if approximate:
+        if corpus.lists is None or size is not None:
+            raise ValueError("approximate search needs an index with lists and takes all sizes")
+        return fusion.named(knn.nearest_lists(embedded(queries, corpus), corpus.lists, k, probes, scope=SCOPE), "semantic")
     side = corpus.dense if size is None else corpus.dense.where(size)
     return fusion.named(knn.nearest(embedded(queries, corpus), side, k, scope=SCOPE), "semantic")
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodestone.functions import text as tx
 from lodestone.functions import vectors as vec
-from lodestone.operators import chunking, index
+from lodestone.operators import chunking, index, knn
 from lodestone.plans.registry import view
 from lodestone.session import apply_settings, checkpoint_dir, ship_package
 
@@ -149,14 +149,29 @@ class Views:
         )
         return text.unionByName(figures)
 
+    def _once(self, name: str, tables: tuple[str, ...], write) -> str:
+        """Path that `write` has filled, once per application and state of the input tables."""
+        path = f"{checkpoint_dir(self.spark)}/{name}-{self.spark.sparkContext.applicationId}-{self._state(tables)}"
+        if not self._exists(f"{path}/done/_SUCCESS"):
+            write(path)
+            self.spark.range(1).write.mode("overwrite").parquet(f"{path}/done")
+        return path
+
     @cached_property
     def index(self) -> index.Index:
         """Search index of the corpus, written once per application and state of the input."""
-        path = f"{checkpoint_dir(self.spark)}/index-{self.spark.sparkContext.applicationId}-{self._state()}"
-        if not self._exists(f"{path}/done/_SUCCESS"):
-            index.write(self.corpus, path)
-            self.spark.range(1).write.mode("overwrite").parquet(f"{path}/done")
-        return index.read(self.spark, path)
+        return index.read(self.spark, self._once("index", ("documents", "pages"), lambda path: index.write(self.corpus, path)))
+
+    @cached_property
+    def index_with_lists(self) -> index.Index:
+        path = self._once("lists", ("documents", "pages"), lambda path: index.write_lists(self.index, path))
+        return index.with_lists(self.index, path)
+
+    @cached_property
+    def vector_lists(self) -> knn.Lists:
+        """Inverted lists of the given vectors."""
+        side = self.table("embeddings").select("vec_id", F.col("embedding").alias("vec"))
+        return knn.read_lists(self.spark, self._once("vectors", ("embeddings",), lambda path: knn.write_lists(side, path, "vec_id")), "vec_id")
 
     def _hadoop(self, path: str):
         jvm = self.spark._jvm
@@ -167,10 +182,10 @@ class Views:
         where, fs = self._hadoop(path)
         return fs.exists(where)
 
-    def _state(self) -> str:
+    def _state(self, tables: tuple[str, ...]) -> str:
         """Fingerprint of the input files."""
         seen = []
-        for name in ("documents", "pages"):
+        for name in tables:
             where, fs = self._hadoop(f"{self.dir}/{name}.parquet")
             total = fs.getContentSummary(where)
             seen.append(f"{where}:{total.getLength()}:{fs.getFileStatus(where).getModificationTime()}")
