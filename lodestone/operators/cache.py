@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lodestone.functions import text as tx
 from lodestone.functions import understand as un
-from lodestone.operators import knn
+from lodestone.operators import cosine_join
 from lodestone.operators.sequences import carry_last, ordered_scan
 
 # Default lifetime in seconds and the similarity a cached answer needs.
@@ -59,7 +59,13 @@ def semantic_lookup(requests: DataFrame, cache: DataFrame, as_of: Column, thresh
     usable = live(cache, as_of)
     asked = requests.withColumn("query_hash", query_hash(F.col("query")))
     open_ = asked.join(usable.select("ns", "query_hash"), ["ns", "query_hash"], "left_anti")
-    return knn.nearest(open_, usable, 1, key="entry_id", scope=("ns",), threshold=threshold).drop("rank")
+    # Equal vectors of a namespace are compared once; of equal entries the least id stands.
+    kinds = open_.where(F.col("vec").isNotNull()).groupBy("ns", "vec").agg(F.min("query_id").alias("kind"))
+    entries = usable.where(F.col("vec").isNotNull()).groupBy("ns", "vec").agg(F.min("entry_id").alias("entry_id"))
+    near = cosine_join.join(kinds, entries, threshold, "kind", "entry_id", ("ns",))
+    best = near.groupBy("kind").agg(F.min(F.struct((-F.col("score")).alias("far"), "entry_id")).alias("b"))
+    found = open_.select("query_id", "ns", "vec").join(kinds, ["ns", "vec"]).join(best, "kind")
+    return found.select("query_id", "b.entry_id", (-F.col("b.far")).alias("score"))
 
 
 def replay(log: DataFrame, base: int = BASE_TTL) -> DataFrame:

@@ -29,12 +29,13 @@ class Index:
     anchors: DataFrame
     embed: Callable[[Column], Column] = vec.lexical_counts
     lists: knn.Lists | None = None
+    places: DataFrame | None = None
 
     def without_images(self) -> Index:
         return replace(self, visual=None)
 
 
-PARTS = [f.name for f in fields(Index) if f.name not in ("embed", "lists")]
+PARTS = [f.name for f in fields(Index) if f.name not in ("embed", "lists", "places")]
 
 
 def searchable_text() -> Column:
@@ -88,3 +89,13 @@ def write_lists(index: Index, path: str, lists: int | None = None) -> None:
 
 def with_lists(index: Index, path: str) -> Index:
     return replace(index, lists=knn.read_lists(index.chunks.sparkSession, f"{path}/lists"))
+
+
+def write_places(index: Index, path: str) -> None:
+    """Add positional postings to a written index, for ranking by cover density."""
+    places = lexical.positional_postings(index.chunks, "chunk_id", searchable_text(), *SCOPE)
+    places.write.mode("overwrite").parquet(f"{path}/places")
+
+
+def with_places(index: Index, path: str) -> Index:
+    return replace(index, places=index.chunks.sparkSession.read.parquet(f"{path}/places"))

@@ -115,6 +115,71 @@ def bm25(queries: DataFrame, docs: DataFrame, key: str, text: Column, k: int) ->
     return top_k(bm25_scores(queries, posts, frequency, corpus_stats(docs, text), key), k, key)
 
 
+def positional_postings(docs: DataFrame, key: str, text: Column, *carry: str) -> DataFrame:
+    """One row per document and distinct token: (key, carry.., token, places), places in order from 0. No shuffle."""
+
+    def gathered(found: Column) -> Column:
+        starts = tx.runs(F.size(found), lambda i: (i == 0) | (found[i]["token"] != found[F.greatest(i - 1, F.lit(0))]["token"]))
+        return tx.let(
+            starts,
+            lambda at: F.transform(
+                at,
+                lambda i, j: F.struct(
+                    found[i]["token"].alias("token"),
+                    F.transform(F.slice(found, i + 1, F.coalesce(F.get(at, j + 1), F.size(found)) - i), lambda s: s["place"]).alias("places"),
+                ),
+            ),
+        )
+
+    numbered = F.transform(tx.tokens(text), lambda token, i: F.struct(token.alias("token"), i.alias("place")))
+    return docs.select(key, *carry, F.inline(tx.let(F.sort_array(numbered), gathered)))
+
+
+def cover_density(hits: Column, terms: Column) -> Column:
+    """Sum over the minimal covers of 0.1 / (1 + other words inside), at most 1. `hits` are (place, term) in order.
+
+    A cover is a stretch that holds all terms and no shorter stretch that does. One walk with a state of fixed size:
+    the last hit of every term. A hit ends a minimal cover when the earliest of those has moved on.
+    """
+
+    def step(a: Column, hit: Column) -> Column:
+        last = F.transform(a["last"], lambda x, t: F.when(t == hit["term"], a["i"]).otherwise(x))
+        return F.struct((a["i"] + 1).alias("i"), last.alias("last"), a["start"].alias("start"), a["sum"].alias("sum"), F.array_min(last).alias("low"), hit["place"].alias("end"))
+
+    def counted(found: Column, a: Column) -> Column:
+        noise = a["end"] - F.get(found, F.greatest(a["low"], F.lit(0)))["place"] + 1 - (a["i"] - a["low"])
+        more = F.when(a["low"] > a["start"], F.lit(0.1) / (1 + noise)).otherwise(0.0)
+        return F.struct(a["i"].alias("i"), a["last"].alias("last"), F.greatest(a["start"], a["low"]).alias("start"), (a["sum"] + more).alias("sum"))
+
+    none = F.lit(-1)
+    start = F.struct(F.lit(0).alias("i"), F.array_repeat(none, terms).alias("last"), none.alias("start"), F.lit(0.0).alias("sum"))
+    walk = lambda found: F.aggregate(
+        found, start, lambda a, hit: tx.let(step(a, hit), lambda b: counted(found, b)), lambda a: F.least(a["sum"], F.lit(1.0))
+    )
+    return tx.let(hits, walk)
+
+
+def cover_scores(queries: DataFrame, places: DataFrame, frequency: DataFrame, key: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Cover density of every document that holds all terms of a query: (query_id, key, carry.., score).
+
+    The postings of a query's rarest term name its candidates, and only these are looked up for the other terms.
+    """
+    terms = query_terms(queries)
+    order = W.partitionBy("query_id").orderBy("token")
+    terms = terms.withColumn("term", F.row_number().over(order) - 1).select("query_id", "token", "terms", "term")
+    known = frequency.join(broadcast_if_small(terms), "token")
+    rare = known.groupBy("query_id").agg(F.min_by("token", F.struct("df", "token")).alias("token"), F.count("*").alias("m"), F.first("terms").alias("terms"))
+    candidates = places.select(key, "token").join(rare.where("m = terms"), "token").select("query_id", key)
+    wanted = candidates.join(known.select("query_id", "token", "terms", "term"), "query_id")
+    hits = places.select(key, *carry, "token", "places").join(wanted, [key, "token"])
+    gathered = hits.groupBy("query_id", key, *carry).agg(
+        F.first("terms").alias("terms"), F.count("*").alias("matched"),
+        F.collect_list(F.transform("places", lambda p: F.struct(p.alias("place"), F.col("term").alias("term")))).alias("found"),
+    )
+    score = cover_density(F.sort_array(F.flatten("found")), F.col("terms"))
+    return gathered.where("matched = terms").select("query_id", key, *carry, F.round(score, 6).alias("score"))
+
+
 def top_k(scored: DataFrame, k: int, key: str = "chunk_id", score: str = "score") -> DataFrame:
     """Best k per query with ranks from 1; ties go to the smaller key.
 

@@ -73,6 +73,14 @@ def keyword(queries: DataFrame, corpus: Index, k: int) -> DataFrame:
     return fusion.named(lexical.top_k(in_scope(scored, queries), k), "keyword")
 
 
+def keyword_cover(queries: DataFrame, corpus: Index, k: int) -> DataFrame:
+    """Chunks that hold all terms of a query, ranked by how closely together the terms stand."""
+    if corpus.places is None:
+        raise ValueError("cover density needs an index with places")
+    scored = lexical.cover_scores(queries, corpus.places, corpus.terms, "chunk_id", carry=_scope_columns(queries))
+    return fusion.named(lexical.top_k(in_scope(scored, queries), k), "keyword")
+
+
 def ident(queries: DataFrame, corpus: Index, k: int) -> DataFrame:
     hits = lexical.identifier_hits(queries, corpus.anchors, carry=_scope_columns(queries))
     return fusion.named(lexical.top_k(in_scope(hits, queries), k), "ident")

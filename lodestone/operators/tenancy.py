@@ -5,9 +5,12 @@ Tables are Parquet snapshots, so a change is a function from the old snapshot to
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lodestone.functions import understand as un
+from lodestone.session import checkpoint_dir
 
 NO_CONTENT = "No text content found in document"
 STUCK = "Processing stuck (server restarted?)"
@@ -284,3 +287,38 @@ def retrieval_outcome(queries: DataFrame, ranked: DataFrame) -> DataFrame:
         .otherwise("no_chunks")
         .alias("outcome"),
     )
+
+
+def version_chain(docs: DataFrame) -> DataFrame:
+    """Add root, depth and newest to documents (document_id, previous_document_id).
+
+    Pointer doubling: after each round a document points twice as far back, so the rounds grow with the logarithm of
+    the longest chain. Rounds are stored tables, and documents whose root is known are not joined again. The
+    newest version is the deepest one of a root, the largest id among equals. A previous document that does not exist
+    makes a root; documents that only lead into a cycle get nulls. Ids are unique and not null.
+    """
+    spark = docs.sparkSession
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/versions-{uuid.uuid4().hex}"
+
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.parquet(f"{folder}/{name}")
+
+    known = docs.select(F.col("document_id").alias("_known"))
+    links = docs.select("document_id", "previous_document_id").join(known, F.col("previous_document_id") == F.col("_known"), "left")
+    far = F.when(F.col("_known").isNull(), 0).otherwise(1).cast("long")
+    steps = stored(links.select("document_id", F.coalesce("_known", "document_id").alias("to"), far.alias("depth")), "0")
+    roots = steps.where("depth = 0").select(F.col("document_id").alias("root"))
+    n = steps.count()
+    done, open_ = roots.select(F.col("root").alias("document_id"), "root", F.lit(0).cast("long").alias("depth")), steps.where("depth > 0")
+    for turn in range(1, max(1, n).bit_length() + 1):
+        known = done.select(F.col("document_id").alias("to"), "root", F.col("depth").alias("_depth"))
+        ended = open_.join(known, "to").select("document_id", "root", (F.col("depth") + F.col("_depth")).alias("depth"))
+        ahead = open_.select(F.col("document_id").alias("to"), F.col("to").alias("_to"), F.col("depth").alias("_depth"))
+        rest = open_.join(known, "to", "left_anti").join(ahead, "to")
+        rest = rest.select("document_id", F.col("_to").alias("to"), (F.col("depth") + F.col("_depth")).alias("depth"))
+        done, open_ = done.unionByName(stored(ended, f"done{turn}")), stored(rest, f"open{turn}")
+        if open_.isEmpty():
+            break
+    newest = done.groupBy("root").agg(F.max(F.struct("depth", "document_id"))["document_id"].alias("newest"))
+    return docs.join(done, "document_id", "left").join(newest, "root", "left").select(*docs.columns, "root", "depth", "newest")

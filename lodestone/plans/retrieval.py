@@ -200,6 +200,40 @@ def keyword_search(t: Views):
     return search.keyword(t.queries, corpus(t), K).drop("list")
 
 
+view("v_short", "SELECT query_id, array_to_string(string_split(text, ' ')[1:3], ' ') AS text FROM v_queries")
+view("v_short_terms", r"""
+SELECT *, count(*) OVER (PARTITION BY query_id) AS terms FROM (SELECT DISTINCT query_id, token
+FROM (SELECT query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM v_short))""")
+# Covers by their ends: of the stretches with one start the shortest is minimal.
+view("v_cover_hits", r"""
+SELECT query_id, chunk_id, place, term, terms FROM (
+  SELECT chunk_id, unnest(toks) AS token, unnest(range(len(toks))) AS place FROM (
+    SELECT chunk_id, regexp_extract_all(lower(concat_ws(' ', content, caption)), '[a-z0-9]+') AS toks FROM v_corpus))
+JOIN (SELECT query_id, token, token AS term, terms FROM v_short_terms) USING (token)""")
+view("v_cover_full", r"""
+SELECT query_id, chunk_id FROM v_cover_hits GROUP BY query_id, chunk_id HAVING count(DISTINCT term) = any_value(terms)""")
+view("v_covers", r"""
+SELECT query_id, chunk_id, start, min(stop) AS stop FROM (
+  SELECT query_id, chunk_id, stop, min(last) AS start FROM (
+    SELECT r.query_id, r.chunk_id, r.terms, r.place AS stop, l.term, max(l.place) AS last
+    FROM v_cover_hits r JOIN v_cover_hits l ON l.query_id = r.query_id AND l.chunk_id = r.chunk_id AND l.place <= r.place
+    SEMI JOIN v_cover_full f ON f.query_id = r.query_id AND f.chunk_id = r.chunk_id GROUP BY ALL)
+  GROUP BY query_id, chunk_id, terms, stop HAVING count(*) = terms)
+GROUP BY ALL""")
+view("v_cover", r"""
+SELECT query_id, chunk_id, round(least(1.0, sum(0.1 / (1 + noise))), 6) AS score FROM (
+  SELECT c.query_id, c.chunk_id, c.start, stop - start + 1 - count(*) AS noise FROM v_covers c
+  JOIN v_cover_hits h ON h.query_id = c.query_id AND h.chunk_id = c.chunk_id AND h.place BETWEEN start AND stop GROUP BY c.query_id, c.chunk_id, c.start, c.stop)
+GROUP BY ALL""")
+
+
+@query("keyword_cover", top_sql("v_cover", K))
+def keyword_cover(t: Views):
+    """Chunks that hold the first three words of each query, best the ones where they stand closest together."""
+    short = t.queries.withColumn("text", F.array_join(F.slice(F.split("text", " "), 1, 3), " "))
+    return search.keyword_cover(short, t.index_with_places, K).drop("list")
+
+
 @query("visual_search", "SELECT query_id, chunk_id, score, rank FROM v_vis")
 def visual_search(t: Views):
     return search.visual(t.queries, corpus(t), K).drop("list")

@@ -431,3 +431,19 @@ LEFT JOIN v_messages p ON p.conversation_id = m.conversation_id AND p.turn = m.t
 def reply_threads(t: Views):
     m = t.messages.withColumn("parent_turn", F.col("turn") - 1)
     return cv.reply_threads(m).select("conversation_id", "turn", "parent_role", F.length("parent_content").cast("bigint").alias("parent_chars"))
+
+
+@query("version_chain", r"""
+WITH RECURSIVE d AS (SELECT doc_id AS id, CASE WHEN doc_id % 200 = 50 THEN doc_id + 49 WHEN doc_id % 50 > 0 THEN doc_id - 1 - (doc_id % 3 // 2) END AS prev FROM documents),
+e AS (SELECT d.id, p.id AS prev FROM d LEFT JOIN d p ON d.prev = p.id),
+walk AS (SELECT id, id AS root, 0 AS depth FROM e WHERE prev IS NULL
+         UNION ALL SELECT e.id, w.root, w.depth + 1 FROM walk w JOIN e ON e.prev = w.id),
+best AS (SELECT root, arg_max(CAST(id AS VARCHAR), (depth, CAST(id AS VARCHAR))) AS newest FROM walk GROUP BY root)
+SELECT CAST(e.id AS VARCHAR) AS document_id, CAST(w.root AS VARCHAR) AS root, CAST(w.depth AS BIGINT) AS depth, b.newest
+FROM e LEFT JOIN walk w ON w.id = e.id LEFT JOIN best b ON b.root = w.root""")
+def version_chain(t: Views):
+    """Documents replace the one before them, some the one before that; every fourth run of fifty leads into itself."""
+    i = F.col("doc_id")
+    before = F.when(i % 200 == 50, i + 49).when(i % 50 > 0, i - 1 - F.floor((i % 3) / 2))
+    docs = t.table("documents").select(i.cast("string").alias("document_id"), before.cast("string").alias("previous_document_id"))
+    return tenancy.version_chain(docs).select("document_id", "root", "depth", "newest")

@@ -167,6 +167,11 @@ class Views:
         path = self._once("lists", ("documents", "pages"), lambda path: index.write_lists(self.index, path))
         return index.with_lists(self.index, path)
 
+    @cached_property
+    def index_with_places(self) -> index.Index:
+        path = self._once("places", ("documents", "pages"), lambda path: index.write_places(self.index, path))
+        return index.with_places(self.index, path)
+
     @cached_property
     def vector_lists(self) -> knn.Lists:
         """Inverted lists of the given vectors."""
