@@ -28,6 +28,15 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a table that `store` wrote and nothing reads any more."""
+    spark = df.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/lodestone/" in path:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def numbered(df: DataFrame) -> DataFrame:
     """The same columns as c0, c1, ...: whatever they were called, no name can clash with an operator's own."""
     return df.toDF(*(f"c{i}" for i in range(len(df.columns))))

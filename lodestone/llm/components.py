@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from lodestone.llm.common import store
+from lodestone.llm.common import discard, store
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -34,4 +34,5 @@ def components(edges: DataFrame) -> DataFrame:
         if (seen["n"], seen["s"]) == mark or not seen["n"]:
             return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
         mark = (seen["n"], seen["s"])
-        edges = store(_small_star(_large_star(edges)), "links")
+        before, edges = edges, store(_small_star(_large_star(edges)), "links")
+        discard(before)

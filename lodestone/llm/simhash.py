@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lodestone.llm.common import map_arrow, read_table, slices, store
+from lodestone.llm.common import discard, map_arrow, read_table, slices, store
 from lodestone.llm.components import components
 
 SEED = 42
@@ -131,7 +131,7 @@ WIDE_GROUPS = ((3,) * 7, (3,) * 7, (3,) * 6 + (4,))
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, text_col: str, words: int) -> DataFrame:
-    """n, shingles: sorted different shingle hashes of the wanted texts (t1, t2, n)."""
+    """n, shingles: sorted different shingle hashes of the wanted texts (t1, t2, n), one text each."""
 
     def run(batches):
         for batch in slices(batches, 500):
@@ -139,8 +139,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, text_col: str, words: int) -> Data
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["n", "shingles"])
 
     own = docs.select(*_text_key(text_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    met = own.join(wanted, ["t1", "t2"]).groupBy("n").agg(F.first("text").alias("text"))
-    return map_arrow(met, run, "n long, shingles array<long>")
+    met = own.join(wanted, ["t1", "t2"]).groupBy("t1", "t2").agg(F.first("n").alias("n"), F.first("text").alias("text"))
+    return map_arrow(met.select("n", "text"), run, "n long, shingles array<long>")
 
 
 def _text_key(text_col: str) -> list[Column]:
@@ -197,10 +197,55 @@ def _released(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def _shared(nodes: DataFrame) -> DataFrame:
+    """n, k, i, s: the first shingles (i-th of a text n with k) that several texts have.
+
+    Most first shingles have one text, so they go to their bucket packed, a row for each batch and bucket, and only
+    what is shared comes out as rows. A bucket remembers one place of every shingle, however many texts share it.
+    """
+    names, buckets = ["n", "k", "i", "s"], 4 * int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def deal(batches):
+        for batch in batches:
+            firsts, size = batch.column(2).flatten().to_numpy(), np.diff(batch.column(2).offsets.to_numpy())
+            place = np.arange(len(firsts)) - np.repeat(np.cumsum(size) - size, size)
+            columns = [np.repeat(batch.column(0).to_numpy(), size), np.repeat(batch.column(1).to_numpy(), size), place, firsts]
+            home = ((firsts.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % buckets
+            order = np.argsort(home, kind="stable")
+            found, at = np.unique(home[order], return_index=True)
+            ends = pa.array(np.append(at, len(order)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(found), *(pa.ListArray.from_arrays(ends, pa.array(c[order].astype(np.int64))) for c in columns)], names=["bucket", *names])
+
+    def meet(batches):
+        held, size = [np.empty((5, 0), np.int64)], 0
+
+        def reduced():
+            rows = np.concatenate(held, axis=1)
+            rows = rows[:, np.argsort(rows[3], kind="stable")]
+            first = np.concatenate([[True], rows[3, 1:] != rows[3, :-1]])[: rows.shape[1]]
+            several = np.bincount(np.cumsum(first) - 1, minlength=1)[np.cumsum(first) - 1] > 1 if rows.shape[1] else first
+            out = rows[:4, several & (rows[4] == 0)]
+            rows[4] |= several
+            held[:] = [rows[:, first]]
+            for j in range(0, out.shape[1], 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[j : j + 100_000]) for c in out], names=names)
+
+        for batch in batches:
+            columns = [batch.column(c).flatten().to_numpy() for c in names]
+            held.append(np.stack([*columns, np.zeros(len(columns[0]), np.int64)]))
+            size += len(columns[0])
+            if size > 4_000_000:
+                yield from reduced()
+                size = held[0].shape[1] // 2
+        yield from reduced()
+
+    dealt = map_arrow(nodes.select("n", "k", "firsts"), deal, "bucket long, n array<long>, k array<long>, i array<long>, s array<long>")
+    return map_arrow(dealt.repartition("bucket").drop("bucket"), meet, "n long, k long, i long, s long")
+
+
 def _rooted(shared: DataFrame, roots: DataFrame | None) -> DataFrame:
     """Rows of `shared` with the component of their text, of shingles that lie in more than one component."""
     own = shared.withColumn("root", F.col("n")) if roots is None else shared.join(roots.withColumnRenamed("node", "n"), "n", "left").withColumn("root", F.coalesce("root", "n"))
-    own = store(own, "rooted")
     several = own.groupBy("s").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("s")
     return own.join(several, "s", "left_semi")
 
@@ -231,29 +276,31 @@ def _across(rows: DataFrame, similarity: float) -> DataFrame:
 
 def _linked(docs: DataFrame, nodes: DataFrame, text_col: str, words: int, similarity: float) -> DataFrame | None:
     """node, root: components of all pairs of texts that are similar, exactly."""
-    firsts = nodes.select("n", "k", F.posexplode("firsts").alias("i", "s"))
-    shared = _released(firsts.join(firsts.groupBy("s").agg(F.count("*").alias("c")).filter("c > 1").select("s"), "s", "left_semi"), "shared")
+    shared = _released(_shared(nodes), "shared")
     total, links_, roots = shared.count(), None, None
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = store(pairs, "pairs")
-        wanted = pairs.select(F.col("a").alias("n")).union(pairs.select("b")).distinct().join(nodes, "n").select("n", "t.t1", "t.t2")
-        return _released(_similar(pairs, _released(_sets(docs, wanted, text_col, words), "sets"), similarity), "similar")
-
+    wanted = shared.select("n").distinct().join(nodes, "n").select("n", "t.t1", "t.t2")
+    sets = _released(_sets(docs, wanted, text_col, words), "sets")
+    rows = shared
     for turn in range(STARS + 1):
-        rows = store(_rooted(shared, roots), "open")
+        before, rows = rows, _released(_rooted(rows.drop("root"), roots), "open")
+        discard(before)
         own = rows.groupBy("s", "root").agg(F.count("*").cast("double").alias("c")).groupBy("s").agg((F.pow(F.sum("c"), F.lit(2)) - F.sum(F.col("c") * F.col("c"))).alias("p"))
         left = own.agg(F.coalesce(F.sum("p"), F.lit(0.0))).first()[0] / 2
         if not left:
             break
         last = turn == STARS or turn and (left <= PAIRS_A_ROW * total or not found)
-        new = verified(_across(rows, similarity) if last else _star(rows, turn, similarity))
+        pairs = store(_across(rows, similarity) if last else _star(rows, turn, similarity), "pairs")
+        new = _released(_similar(pairs, sets, similarity), "similar")
+        discard(pairs)
         found = new.count()
         links_ = new if links_ is None else links_.unionByName(new)
         if found:
+            if roots is not None:
+                discard(roots)
             roots = store(components(links_), "roots")
         if last:
             break
+    discard(sets)
     return roots
 
 
@@ -282,6 +329,8 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     marked = store(map_arrow(own, run, f"id {kind}, t1 long, t2 long, u string, k long, firsts array<long>"), "marked")
     nodes = marked.groupBy("u").agg(F.min("k").alias("k"), F.min(F.struct("t1", "t2")).alias("t"), F.first("firsts").alias("firsts"))
     nodes = _released(nodes.withColumn("n", F.monotonically_increasing_id()), "nodes")
+    made, marked = marked, store(marked.drop("firsts", "k"), "marked")
+    discard(made)
     roots = _linked(docs, nodes, text_col, words, similarity)
     named = nodes.select("u", F.col("n").alias("root"))
     if roots is not None:
