@@ -277,10 +277,7 @@ def _across(rows: DataFrame, similarity: float) -> DataFrame:
 def _linked(docs: DataFrame, nodes: DataFrame, text_col: str, words: int, similarity: float) -> DataFrame | None:
     """node, root: components of all pairs of texts that are similar, exactly."""
     shared = _released(_shared(nodes), "shared")
-    total, links_, roots = shared.count(), None, None
-    wanted = shared.select("n").distinct().join(nodes, "n").select("n", "t.t1", "t.t2")
-    sets = _released(_sets(docs, wanted, text_col, words), "sets")
-    rows = shared
+    total, links_, roots, rows = shared.count(), None, None, shared
     for turn in range(STARS + 1):
         before, rows = rows, _released(_rooted(rows.drop("root"), roots), "open")
         discard(before)
@@ -290,7 +287,11 @@ def _linked(docs: DataFrame, nodes: DataFrame, text_col: str, words: int, simila
             break
         last = turn == STARS or turn and (left <= PAIRS_A_ROW * total or not found)
         pairs = store(_across(rows, similarity) if last else _star(rows, turn, similarity), "pairs")
+        # Only sets that this turn compares: kept for all turns they would be most of the corpus once more.
+        wanted = pairs.select(F.col("a").alias("n")).union(pairs.select("b")).distinct().join(nodes.select("n", "t"), "n").select("n", "t.t1", "t.t2")
+        sets = _released(_sets(docs, wanted, text_col, words), "sets")
         new = _released(_similar(pairs, sets, similarity), "similar")
+        discard(sets)
         discard(pairs)
         found = new.count()
         links_ = new if links_ is None else links_.unionByName(new)
@@ -300,7 +301,6 @@ def _linked(docs: DataFrame, nodes: DataFrame, text_col: str, words: int, simila
             roots = store(components(links_), "roots")
         if last:
             break
-    discard(sets)
     return roots
 
 
