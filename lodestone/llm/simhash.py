@@ -274,10 +274,20 @@ def _across(rows: DataFrame, similarity: float) -> DataFrame:
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float, texts: int) -> DataFrame:
+    """The similar pairs, in as many steps as keep the sets that one step shuffles near a third of the corpus."""
+    steps, found = 1 + 3 * pairs.count() // max(1, texts), None
+    for step in range(steps):
+        part = pairs.filter(F.pmod(F.xxhash64("a", "b"), F.lit(steps)) == step)
+        new = _released(_similar(part, sets, similarity), "similar")
+        found = new if found is None else found.unionByName(new)
+    return found
+
+
 def _linked(docs: DataFrame, nodes: DataFrame, text_col: str, words: int, similarity: float) -> DataFrame | None:
     """node, root: components of all pairs of texts that are similar, exactly."""
     shared = _released(_shared(nodes), "shared")
-    total, links_, roots, rows = shared.count(), None, None, shared
+    total, texts, links_, roots, rows = shared.count(), nodes.count(), None, None, shared
     for turn in range(STARS + 1):
         before, rows = rows, _released(_rooted(rows.drop("root"), roots), "open")
         discard(before)
@@ -290,7 +300,7 @@ def _linked(docs: DataFrame, nodes: DataFrame, text_col: str, words: int, simila
         # Only sets that this turn compares: kept for all turns they would be most of the corpus once more.
         wanted = pairs.select(F.col("a").alias("n")).union(pairs.select("b")).distinct().join(nodes.select("n", "t"), "n").select("n", "t.t1", "t.t2")
         sets = _released(_sets(docs, wanted, text_col, words), "sets")
-        new = _released(_similar(pairs, sets, similarity), "similar")
+        new = _verified(pairs, sets, similarity, texts)
         discard(sets)
         discard(pairs)
         found = new.count()
