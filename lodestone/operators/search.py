@@ -168,8 +168,12 @@ def _with_scope(asked: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def _derived(asked: DataFrame) -> DataFrame:
-    """An id of its own for every (query_id, n)."""
-    return asked.withColumn("query_id", F.concat_ws("#", "query_id", "n")).drop("n")
+    """An id of its own for every (query_id, n), and the query it belongs to as `origin`."""
+    return asked.withColumn("origin", F.col("query_id")).withColumn("query_id", F.concat_ws("#", "query_id", "n")).drop("n")
+
+
+def _with_origin(found: DataFrame, asked: DataFrame) -> DataFrame:
+    return found.join(asked.select("query_id", "origin"), "query_id")
 
 
 def hyde_merge(queries: DataFrame, ranked: DataFrame, hypothetical: DataFrame, corpus: Index, k: int) -> DataFrame:
@@ -181,9 +185,7 @@ def hyde_merge(queries: DataFrame, ranked: DataFrame, hypothetical: DataFrame, c
     weak = top_scores(ranked).where(confidence(F.col("top")) == "very_low")
     usable = hypothetical.where(un.hyde_usable(F.col("text"))).join(weak, "query_id", "left_semi")
     asked = _derived(_with_scope(embedded(usable, corpus).select("query_id", "n", "vec"), queries))
-    found = knn.nearest(asked, corpus.dense, k, scope=SCOPE).withColumn(
-        "origin", F.split("query_id", "#")[0].cast(ranked.schema["query_id"].dataType)
-    )
+    found = _with_origin(knn.nearest(asked, corpus.dense, k, scope=SCOPE), asked)
     lists = ranked.select("query_id", F.lit("q").alias("list"), "chunk_id", "score", "rank").unionByName(
         found.select(F.col("origin").alias("query_id"), F.col("query_id").alias("list"), "chunk_id", "score", "rank")
     )
@@ -200,9 +202,7 @@ def multi_query_merge(
     """For low confidence, fuse with HYBRID results of the query's variations (query_id, n, text), within its scope."""
     weak = top_scores(ranked).where(confidence(F.col("top")) == "low")
     asked = _derived(_with_scope(variations.join(weak, "query_id", "left_semi").select("query_id", "n", "text"), queries))
-    found = (multi_granularity if use_multi_granularity else hybrid)(asked, corpus, k).withColumn(
-        "origin", F.split("query_id", "#")[0].cast(ranked.schema["query_id"].dataType)
-    )
+    found = _with_origin((multi_granularity if use_multi_granularity else hybrid)(asked, corpus, k), asked)
     lists = ranked.select("query_id", "chunk_id", "score", "rank").unionByName(
         found.select(F.col("origin").alias("query_id"), "chunk_id", "score", "rank")
     )

@@ -176,3 +176,13 @@ def test_bm25_matches_formula(spark):
     idf = lambda df: math.log(1 + (3 - df + 0.5) / (df + 0.5))
     part = lambda f, dl, df: idf(df) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / (5 / 3)))
     assert got == {"a": round(2 * part(2, 3, 2), 6), "b": round(2 * part(1, 2, 2) + part(1, 2, 1), 6)}
+
+
+def test_derived_queries_of_ids_with_a_number_sign_stay_apart(spark):
+    ix = small_index(spark)
+    q = spark.createDataFrame([("a", "no match here", None), ("a#1", "nothing at all", "w2")], "query_id string, text string, workspace_id string")
+    ranked = spark.createDataFrame([("a", "c9", 0.01, 1, "HYBRID"), ("a#1", "c9", 0.01, 1, "HYBRID")], "query_id string, chunk_id string, score double, rank int, strategy_used string")
+    text = "pears grow on trees too and apples grow on trees in autumn, " * 3
+    made = spark.createDataFrame([("a", 1, text), ("a#1", 1, text)], "query_id string, n int, text string")
+    got = {(r.query_id, r.chunk_id) for r in search.hyde_merge(q, ranked, made, ix, 5).collect() if r.strategy_used == "HYDE"}
+    assert {c for i, c in got if i == "a#1"} == {"c2", "c9"} and {"c1", "c2"} <= {c for i, c in got if i == "a"}
