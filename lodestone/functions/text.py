@@ -60,6 +60,55 @@ def runs(n: Column, starts_run) -> Column:
     )
 
 
+#: Elements a walk takes at a time.
+BLOCK = 64
+
+
+def walk(items: Column, start: Column, step, emit, kind: str) -> Column:
+    """Struct (out, last): what a walk over `items` puts out, and its state at the end.
+
+    `step(state, x)` is the next state, `emit(state, x)` an element of type `kind` or null for none. A fold
+    copies its state at every step, so a list that grows in it costs n * n. Here a first fold carries the state over
+    whole blocks and notes only where each block starts; the blocks then list their own elements.
+    """
+
+    def block(items: Column, b: Column) -> Column:
+        return F.slice(items, b * BLOCK + 1, F.lit(BLOCK))
+
+    def carried(items: Column) -> Column:
+        states = F.struct(start.alias("state"), F.slice(F.array(start), 1, 0).alias("starts"))
+        blocks = runs(F.ceil(F.size(items) / BLOCK).cast("int"), lambda b: F.lit(True))
+        return F.aggregate(
+            blocks,
+            states,
+            lambda a, b: F.struct(
+                F.aggregate(block(items, b), a["state"], step).alias("state"),
+                F.concat(a["starts"], F.array(a["state"])).alias("starts"),
+            ),
+        )
+
+    def listed(items: Column, state: Column, b: Column) -> Column:
+        none = F.array().cast(f"array<{kind}>")
+
+        def add(a: Column, x: Column) -> Column:
+            element = emit(a["state"], x)
+            out = F.when(element.isNotNull(), F.concat(a["out"], F.array(element))).otherwise(a["out"])
+            return F.struct(step(a["state"], x).alias("state"), out.alias("out"))
+
+        return F.aggregate(block(items, b), F.struct(state.alias("state"), none.alias("out")), add, lambda a: a["out"])
+
+    def walked(items: Column) -> Column:
+        return let(
+            carried(items),
+            lambda c: F.struct(
+                F.flatten(F.transform(c["starts"], lambda state, b: listed(items, state, b))).alias("out"),
+                c["state"].alias("last"),
+            ),
+        )
+
+    return let(items, walked)
+
+
 def paragraphs(c: Column) -> Column:
     """Paragraph and heading units of a text.
 

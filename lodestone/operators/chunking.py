@@ -48,40 +48,41 @@ def pack_cuts(units: Column, limit: int, overlap: int, pad: int) -> Column:
     The fold sees only unit lengths. A chunk is described by the units it draws on
     [lo, hi) and by its length: it is the last `len` characters of those units joined,
     because the overlap carried from the chunk before is always the text just in front.
+    The time is linear in the units.
     """
 
     def length_of(a):
         return a["cur"] - F.when((a["ov"] > 0) | F.lit(pad == 0), 0).otherwise(pad)
 
-    def state(i, first, lo, ov, cur, cuts):
-        return F.struct(
-            i.cast("int").alias("i"),
-            first.cast("int").alias("first"),
-            lo.cast("int").alias("lo"),
-            ov.cast("int").alias("ov"),
-            cur.cast("int").alias("cur"),
-            cuts.alias("cuts"),
-        )
+    def state(i, first, lo, ov, cur):
+        named = {"i": i, "first": first, "lo": lo, "ov": ov, "cur": cur}
+        return F.struct(*[c.cast("int").alias(name) for name, c in named.items()])
 
     def cut(a):
         return F.struct(a["lo"].alias("lo"), a["i"].alias("hi"), length_of(a).cast("int").alias("len"))
 
+    def full(a, n):
+        return (a["cur"] + n > limit) & ((a["i"] > a["first"]) | (a["ov"] > 0))
+
     def step(a, n):
         ov = F.least(length_of(a), F.lit(overlap))
         fresh = length_of(a) - F.when(a["ov"] > 0, a["ov"] + 1).otherwise(0)
         lo = F.when(ov == 0, a["i"]).when(fresh >= ov, a["first"]).otherwise(a["lo"])
-        full = (a["cur"] + n > limit) & ((a["i"] > a["first"]) | (a["ov"] > 0))
-        return F.when(
-            full,
-            state(a["i"] + 1, a["i"], lo, ov, ov + n + pad, F.concat(a["cuts"], F.array(cut(a)))),
-        ).otherwise(state(a["i"] + 1, a["first"], a["lo"], a["ov"], a["cur"] + n + pad, a["cuts"]))
-
-    def finish(a):
-        return F.when(a["i"] > a["first"], F.concat(a["cuts"], F.array(cut(a)))).otherwise(a["cuts"])
+        return F.when(full(a, n), state(a["i"] + 1, a["i"], lo, ov, ov + n + pad)).otherwise(
+            state(a["i"] + 1, a["first"], a["lo"], a["ov"], a["cur"] + n + pad)
+        )
 
     zero = F.lit(0)
-    start = state(zero, zero, zero, zero, zero, F.array().cast("array<struct<lo:int,hi:int,len:int>>"))
-    return F.aggregate(F.transform(units, F.length), start, step, finish)
+    return tx.let(
+        tx.walk(
+            F.transform(units, F.length),
+            state(zero, zero, zero, zero, zero),
+            step,
+            lambda a, n: F.when(full(a, n), cut(a)),
+            "struct<lo:int,hi:int,len:int>",
+        ),
+        lambda w: F.when(w["last"]["i"] > w["last"]["first"], F.concat(w["out"], F.array(cut(w["last"])))).otherwise(w["out"]),
+    )
 
 
 def _texts(units: Column, cuts: Column, joiner: str, exact: bool) -> Column:
@@ -184,7 +185,7 @@ def select_for_embedding(array: Column, cfg: ChunkConfig = DEFAULT) -> Column:
     """Mark the elements to embed: the best share by score, as far as the budget allows.
 
     A chunk that does not fit is passed over and the walk goes on. Elements need the
-    fields score, token_count and chunk_type.
+    fields score, token_count and chunk_type. Beyond two sorts the time is linear in the elements.
     """
     if not cfg.selective:
         return F.transform(array, lambda c: c.withField("selected", F.lit(True)))
@@ -209,29 +210,36 @@ def select_for_embedding(array: Column, cfg: ChunkConfig = DEFAULT) -> Column:
         return F.greatest(F.lit(cfg.budget_min), F.least(F.floor(total * cfg.budget_share), F.lit(cfg.budget_max)))
 
     def picked(order: Column) -> Column:
+        """Positions of the chosen elements, best first."""
         count = F.greatest(F.lit(1), F.floor(F.size(order) * F.lit(cfg.top_share)).cast("int"))
-        start = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast("array<int>").alias("picked"))
         return tx.let(
             budget(order),
-            lambda limit: F.aggregate(
+            lambda limit: tx.walk(
                 F.slice(order, F.lit(1), count),
-                start,
-                lambda a, r: F.when(
-                    a["used"] + r["t"] <= limit,
-                    F.struct((a["used"] + r["t"]).alias("used"), F.concat(a["picked"], F.array(r["i"])).alias("picked")),
-                ).otherwise(a),
-                lambda a: a["picked"],
+                F.lit(0).cast("bigint"),
+                lambda used, r: F.when(used + r["t"] <= limit, used + r["t"]).otherwise(used),
+                lambda used, r: F.when(used + r["t"] <= limit, r["i"]),
+                "int",
+            )["out"],
+        )
+
+    def marks(items: Column, chosen: Column) -> Column:
+        """One flag per element: chosen positions sorted among all positions come right behind their own."""
+        every = F.transform(items, lambda c, i: F.struct(i.cast("int").alias("i"), F.lit(0).alias("chosen")))
+        both = F.concat(every, F.transform(chosen, lambda i: F.struct(i.alias("i"), F.lit(1).alias("chosen"))))
+        return tx.let(
+            F.sort_array(both),
+            lambda order: F.transform(
+                tx.runs(F.size(order), lambda j: order[j]["chosen"] == 0),
+                lambda j: F.coalesce(F.get(order, j + 1)["chosen"] == 1, F.lit(False)),
             ),
         )
 
     def mark(items: Column) -> Column:
         return tx.let(
-            tx.let(ranked(items), picked),
-            lambda chosen: F.transform(
-                items,
-                lambda c, i: c.withField(
-                    "selected", c["chunk_type"].isin("table", "figure") | F.array_contains(chosen, i.cast("int"))
-                ),
+            tx.let(tx.let(ranked(items), picked), lambda chosen: marks(items, chosen)),
+            lambda flags: F.transform(
+                items, lambda c, i: c.withField("selected", c["chunk_type"].isin("table", "figure") | flags[i])
             ),
         )
 

@@ -109,3 +109,61 @@ def test_structured_chunks_follow_text(spark):
     )
     got = {r.chunk_type: (r.chunk_index, r.selected) for r in ch.ingest(pages, structured=extra).collect()}
     assert got == {"text": (0, True), "table": (2, True)}
+
+
+def test_walk_equals_a_plain_loop(spark):
+    rng = random.Random(8)
+    lists = [[], [3], [rng.randrange(9) for _ in range(tx.BLOCK)]] + [
+        [rng.randrange(9) for _ in range(rng.choice([1, 63, 65, 128, 1000]))] for _ in range(20)
+    ]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "i int, x array<int>")
+    walked = tx.walk(
+        F.col("x"),
+        F.lit(0),
+        lambda s, x: F.when(s + x <= 20, s + x).otherwise(x),
+        lambda s, x: F.when(s + x > 20, s),
+        "int",
+    )
+    for r in df.select("i", walked.alias("w")).collect():
+        state, out = 0, []
+        for x in lists[r.i]:
+            if state + x > 20:
+                out.append(state)
+            state = state + x if state + x <= 20 else x
+        assert (list(r.w.out), r.w.last) == (out, state), r.i
+
+
+def test_selection_equals_plain_walk(spark):
+    rng = random.Random(3)
+    lists = [
+        [(rng.randrange(50) / 7, rng.randrange(1, 40), rng.choice(["text", "text", "text", "table"])) for _ in range(n)]
+        for n in (0, 1, 2, 64, 65, 700)
+    ]
+    cfg = ch.ChunkConfig(budget_min=10, budget_max=900)
+    schema = "i int, a array<struct<score:double,token_count:int,chunk_type:string>>"
+    df = spark.createDataFrame(list(enumerate(lists)), schema)
+    for r in df.select("i", ch.select_for_embedding(F.col("a"), cfg).alias("a")).collect():
+        items = lists[r.i]
+        order = sorted((-s, j, t) for j, (s, t, kind) in enumerate(items) if kind == "text")
+        limit = max(10, min(int(sum(t for _, _, t in order) * 0.5), 900))
+        used, chosen = 0, set()
+        for _, j, t in order[: max(1, int(len(order) * 0.4))]:
+            if used + t <= limit:
+                used += t
+                chosen.add(j)
+        assert [c.selected for c in r.a] == [kind == "table" or j in chosen for j, (_, _, kind) in enumerate(items)], r.i
+
+
+def test_packing_time_is_linear_in_the_units(spark, tmp_path):
+    """Every unit is a cut, the worst case; eight times the units may take twelve times as long, not 64 times."""
+    import time
+
+    took = {}
+    for n in (8000, 32000, 256000):
+        text = " ".join(f"Word number {i}." for i in range(n))
+        spark.createDataFrame([(text,)], "content string").write.parquet(str(tmp_path / str(n)))
+        df = spark.read.parquet(str(tmp_path / str(n)))
+        start = time.time()
+        assert df.select(F.size(ch.pack_cuts(tx.sentences(F.col("content")), 20, 5, 1))).first()[0] == n
+        took[n] = time.time() - start
+    assert took[256000] < 12 * max(took[32000], 0.5), took
