@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from lodestone.functions import text as tx
+from lodestone.operators.containing import by_scope, containing
 from lodestone.operators.sequences import carry_last
 
 # How many conversations a listing and a local store hold.
@@ -47,6 +48,24 @@ def search(conversations: DataFrame, messages: DataFrame, term: str) -> DataFram
     )
 
 
+def hits(requests: DataFrame, conversations: DataFrame, messages: DataFrame) -> DataFrame:
+    """`search` for a table (request_id, user_id, workspace_id, term): pairs (request_id, conversation_id).
+
+    A request sees its user's conversations, of the given workspace or of all. Blanks around a term do not count.
+    """
+    title = F.when(F.coalesce("title", F.lit("")) == "", "New Chat").otherwise(F.col("title"))
+    heads = conversations.select("conversation_id", "user_id", F.lit(-1).cast("bigint").alias("turn"), title.alias("_said"))
+    owners = conversations.select("conversation_id", "user_id")
+    said = messages.select("conversation_id", F.col("turn").cast("bigint").alias("turn"), F.col("content").alias("_said"))
+    texts = heads.unionByName(said.join(owners, "conversation_id").select(heads.columns))
+    asked = requests.select("request_id", "user_id", F.col("workspace_id").alias("_ws"), F.lower(tx.strip(F.col("term"))).alias("term"))
+    found = containing(asked, texts, ["conversation_id", "turn"], ["user_id"], "_said")
+    found = found.select("user_id", "term", "conversation_id").distinct()
+    found = found.join(conversations.select("conversation_id", "workspace_id"), "conversation_id")
+    pairs = asked.join(found, ["user_id", "term"])
+    return pairs.where("_ws IS NULL OR _ws = workspace_id").select("request_id", "conversation_id")
+
+
 def markdown_lines(messages: DataFrame, titles: DataFrame) -> DataFrame:
     """Markdown export as lines (conversation_id, turn, part, line); order by these columns.
 
@@ -117,6 +136,13 @@ def recent(conversations: DataFrame, user_id: str, workspace_id: str | None = No
     return df.orderBy(F.desc("updated_at"), "conversation_id").limit(limit)
 
 
+def recent_in(scopes: DataFrame, conversations: DataFrame, limit: int = RECENT_LIMIT) -> DataFrame:
+    """`recent` for every different (user_id, workspace_id), either of them null for all, with the place in the listing."""
+    rows = by_scope(scopes, conversations, ["user_id", "workspace_id"])
+    order = W.partitionBy("scope_user_id", "scope_workspace_id").orderBy(F.desc("updated_at"), "conversation_id")
+    return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
+
+
 def pinned_first(conversations: DataFrame) -> DataFrame:
     return conversations.orderBy(*_pinned_order())
 

@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lodestone.functions import understand as un
+from lodestone.operators.containing import by_scope, containing
 from lodestone.session import checkpoint_dir
 
 NO_CONTENT = "No text content found in document"
@@ -88,6 +89,39 @@ def list_documents(documents: DataFrame, workspaces: DataFrame, user_id: str | N
     return df.orderBy(F.desc("created_at"), "document_id")
 
 
+def listings(requests: DataFrame, documents: DataFrame, workspaces: DataFrame) -> DataFrame:
+    """`list_documents` for a table (user_id, workspace_id): documents with the request as scope_user_id, scope_workspace_id.
+
+    Equal requests count once. Joins are by workspace and owner, where an unowned document has the owner "none".
+    """
+    user, ws = "scope_user_id", "scope_workspace_id"
+    asked = requests.select(F.col("user_id").alias(user), F.col("workspace_id").alias(ws)).distinct()
+    owned = workspaces.where("user_id IS NOT NULL").select(F.col("user_id").alias(user), F.col("id").alias("_ws"))
+    open_ = asked.where(f"{ws} IS NULL")
+    places = (
+        asked.where(f"{ws} IS NOT NULL").withColumn("_ws", F.col(ws))
+        .unionByName(open_.withColumn("_ws", F.lit(None).cast("string")))
+        .unionByName(open_.join(owned, user).select(user, ws, "_ws"))
+    )
+    known = places.where(f"{user} IS NOT NULL")
+    own = known.withColumn("_owner", F.col(user)).unionByName(known.withColumn("_owner", F.lit(None).cast("string")))
+    in_place = F.col("_ws").eqNullSafe(documents["workspace_id"])
+    by_owner = documents.join(own, in_place & F.col("_owner").eqNullSafe(documents["user_id"]))
+    anyone = documents.join(places.where(f"{user} IS NULL"), in_place)
+    columns = [user, ws, *documents.columns]
+    return by_owner.select(*columns).unionByName(anyone.select(*columns))
+
+
+def name_hits(requests: DataFrame, documents: DataFrame) -> DataFrame:
+    """`search_by_name` for a table (workspace_id, term): pairs (workspace_id, term in lower case, document_id)."""
+    return containing(requests, documents, ["document_id"], ["workspace_id"], "name")
+
+
+def ready_in(requests: DataFrame, documents: DataFrame) -> DataFrame:
+    """Ready documents of every different workspace_id of the requests; a null one asks for all."""
+    return by_scope(requests, documents.where("status = 'ready'"), ["workspace_id"])
+
+
 def search_by_name(documents: DataFrame, term: str, workspace_id: str | None) -> DataFrame:
     """Documents of a workspace by part of their name; none without a workspace."""
     if not workspace_id:
@@ -223,11 +257,16 @@ def sweep_stuck(documents: DataFrame, as_of, minutes: int = 5) -> DataFrame:
     )
 
 
-def workspace_counts(workspaces: DataFrame, documents: DataFrame, user_id: str) -> DataFrame:
-    """A user's workspaces with the number of own or unowned documents, empty ones included."""
-    mine = documents.where(F.col("user_id").isNull() | (F.col("user_id") == user_id))
-    counts = mine.groupBy(F.col("workspace_id").alias("id")).agg(F.count("*").alias("_n"))
-    owned = workspaces.where(F.col("user_id") == user_id)
+def workspace_counts(workspaces: DataFrame, documents: DataFrame, user_id: str | None = None) -> DataFrame:
+    """Workspaces, all or a user's, with the number of documents that are unowned or their owner's, empty ones included.
+
+    Documents are counted by workspace and owner before they meet the workspaces. A workspace id occurs once.
+    """
+    owned = workspaces if user_id is None else workspaces.where(F.col("user_id") == user_id)
+    owners = owned.select("id", F.col("user_id").alias("_owner"))
+    each = documents.groupBy(F.col("workspace_id").alias("id"), F.col("user_id").alias("_by")).agg(F.count("*").alias("_k"))
+    mine = each.join(owners, "id").where(F.col("_by").isNull() | same(F.col("_by"), F.col("_owner")))
+    counts = mine.groupBy("id").agg(F.sum("_k").alias("_n"))
     return owned.join(counts, "id", "left").select(*workspaces.columns, F.coalesce("_n", F.lit(0)).alias("documents"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
-from lodestone.operators import chunking, conversations as cv, search, tenancy
+from lodestone.operators import chunking, containing, conversations as cv, tenancy, search
 from lodestone.plans.registry import query, view
 from lodestone.plans.retrieval import K, corpus, top_sql
 from lodestone.plans.views import Views, at, stamp
@@ -31,12 +31,43 @@ def access_log(t: Views):
     )
 
 
+view("v_scopes", r"""
+SELECT DISTINCT CASE WHEN doc_id % 9 < 6 THEN 'u' || (doc_id % 9) END AS user_id,
+  CASE WHEN doc_id % 9 IN (1, 4, 7) THEN 'src' || (doc_id % 9 + 2) END AS workspace_id FROM documents""")
+view("v_asked", r"""
+SELECT item_id AS request_id, 'u' || (item_id % 7) AS user_id, CASE WHEN item_id % 4 = 0 THEN 'src' || (item_id % 20) END AS chat_ws,
+  'src' || (item_id % 20) AS workspace_id, CASE WHEN item_id % 10 = 9 THEN '' ELSE 'OC_' || (item_id % 30) END AS name_term,
+  ' ' || upper(CASE WHEN item_id % 5 = 4 THEN right(text, 2) WHEN item_id % 5 = 3 THEN left(text, 4) ELSE right(text, 9) END) || ' ' AS said_term FROM benchmark""")
+
+
+def scopes(t: Views):
+    """Requests with a user, a workspace, both or none."""
+    n = F.col("doc_id") % 9
+    return t.table("documents").select(
+        F.when(n < 6, F.concat(F.lit("u"), n)).alias("user_id"),
+        F.when(n.isin(1, 4, 7), F.concat(F.lit("src"), n + 2)).alias("workspace_id"),
+    ).distinct()
+
+
+def asked(t: Views):
+    """Requests with a term for names and one for what was said: parts of benchmark texts."""
+    n, text = F.col("item_id"), F.col("text")
+    part = F.when(n % 5 == 4, F.right(text, F.lit(2))).when(n % 5 == 3, F.left(text, F.lit(4))).otherwise(F.right(text, F.lit(9)))
+    return t.table("benchmark").select(
+        n.alias("request_id"), F.concat(F.lit("u"), n % 7).alias("user_id"),
+        F.when(n % 4 == 0, F.concat(F.lit("src"), n % 20)).alias("chat_ws"), F.concat(F.lit("src"), n % 20).alias("workspace_id"),
+        F.when(n % 10 == 9, "").otherwise(F.concat(F.lit("OC_"), n % 30)).alias("name_term"),
+        F.concat(F.lit(" "), F.upper(part), F.lit(" ")).alias("said_term"),
+    )
+
+
 @query("scope_filter", r"""
-SELECT c.chunk_id, c.document_id FROM v_chunks c JOIN v_docs d USING (document_id)
-WHERE d.status = 'ready' AND d.workspace_id = 'src3' AND d.user_id = 'u2'""")
+SELECT s.user_id AS scope_user_id, s.workspace_id AS scope_workspace_id, c.chunk_id, c.document_id FROM v_chunks c JOIN v_docs d USING (document_id)
+JOIN v_scopes s ON (s.user_id IS NULL OR s.user_id = d.user_id) AND (s.workspace_id IS NULL OR s.workspace_id = d.workspace_id) WHERE d.status = 'ready'""")
 def scope_filter(t: Views):
-    docs = search.scope_filter(t.docs, workspace_id="src3", user_id="u2").select("document_id")
-    return t.index.chunks.join(docs, "document_id", "left_semi").select("chunk_id", "document_id")
+    docs = containing.by_scope(scopes(t), search.scope_filter(t.docs), ["user_id", "workspace_id"])
+    kept = docs.select("scope_user_id", "scope_workspace_id", "document_id")
+    return t.index.chunks.select("chunk_id", "document_id").join(kept, "document_id")
 
 
 @query("doc_access", r"""
@@ -57,21 +88,26 @@ def ws_access(t: Views):
 
 
 @query("list_documents", f"""
-SELECT document_id, name, status, strftime(created_at, {FMT}) AS created_at FROM v_docs
-WHERE (user_id = 'u3' OR user_id IS NULL) AND (workspace_id IS NULL OR workspace_id IN (SELECT id FROM v_workspaces WHERE user_id = 'u3'))""")
+SELECT s.user_id AS scope_user_id, s.workspace_id AS scope_workspace_id, document_id, name, status, strftime(created_at, {FMT}) AS created_at
+FROM v_docs d JOIN v_scopes s ON (s.user_id IS NULL OR d.user_id IS NULL OR d.user_id = s.user_id) AND CASE WHEN s.workspace_id IS NOT NULL
+  THEN coalesce(d.workspace_id = s.workspace_id, false) ELSE d.workspace_id IS NULL OR coalesce(d.workspace_id IN (SELECT id FROM v_workspaces w WHERE w.user_id = s.user_id), false) END""")
 def list_documents(t: Views):
-    listed = tenancy.list_documents(t.docs, t.workspaces, "u3")
-    return listed.select("document_id", "name", "status", stamp("created_at").alias("created_at"))
+    listed = tenancy.listings(scopes(t), t.docs, t.workspaces)
+    return listed.select("scope_user_id", "scope_workspace_id", "document_id", "name", "status", stamp("created_at").alias("created_at"))
 
 
-@query("doc_search", "SELECT document_id, name FROM v_docs WHERE workspace_id = 'src5' AND contains(lower(name), 'oc_1')")
+@query("doc_search", r"""
+SELECT a.request_id, d.document_id FROM v_asked a JOIN v_docs d ON d.workspace_id = a.workspace_id AND contains(lower(d.name), lower(a.name_term))""")
 def doc_search(t: Views):
-    return tenancy.search_by_name(t.docs, "OC_1", "src5").select("document_id", "name")
+    terms = asked(t).select("request_id", "workspace_id", F.lower("name_term").alias("term"))
+    return terms.join(tenancy.name_hits(terms, t.docs), ["workspace_id", "term"]).select("request_id", "document_id")
 
 
-@query("ready_docs", "SELECT document_id, name FROM v_docs WHERE status = 'ready' AND workspace_id = 'src4'")
+@query("ready_docs", r"""
+SELECT s.workspace_id AS scope_workspace_id, document_id, name FROM v_docs d JOIN (SELECT DISTINCT workspace_id FROM v_scopes) s
+  ON s.workspace_id IS NULL OR s.workspace_id = d.workspace_id WHERE status = 'ready'""")
 def ready_docs(t: Views):
-    return tenancy.ready_documents(t.docs, "src4").select("document_id", "name")
+    return tenancy.ready_in(scopes(t), t.docs).select("scope_workspace_id", "document_id", "name")
 
 
 @query("context_chunk", r"""
@@ -147,9 +183,9 @@ def file_size(t: Views):
 
 @query("workspace_counts", r"""
 SELECT w.id, w.user_id, count(d.document_id) AS documents FROM v_workspaces w LEFT JOIN v_docs d
-  ON d.workspace_id = w.id AND (d.user_id = w.user_id OR d.user_id IS NULL) WHERE w.user_id = 'u5' GROUP BY ALL""")
+  ON d.workspace_id = w.id AND (d.user_id = w.user_id OR d.user_id IS NULL) GROUP BY ALL""")
 def workspace_counts(t: Views):
-    return tenancy.workspace_counts(t.workspaces, t.docs, "u5")
+    return tenancy.workspace_counts(t.workspaces, t.docs)
 
 
 @query("doc_stats", r"""
@@ -347,10 +383,12 @@ def conv_title(t: Views):
 
 
 @query("conv_search", r"""
-SELECT conversation_id FROM v_convs c WHERE contains(lower(coalesce(nullif(title, ''), 'New Chat')), 'sch')
-  OR EXISTS (SELECT 1 FROM v_messages m WHERE m.conversation_id = c.conversation_id AND contains(lower(m.content), 'sch'))""")
+SELECT a.request_id, c.conversation_id FROM v_asked a JOIN v_convs c ON c.user_id = a.user_id AND (a.chat_ws IS NULL OR a.chat_ws = c.workspace_id)
+WHERE contains(lower(coalesce(nullif(c.title, ''), 'New Chat')), lower(trim(a.said_term))) OR EXISTS (
+  SELECT 1 FROM v_messages m WHERE m.conversation_id = c.conversation_id AND contains(lower(m.content), lower(trim(a.said_term))))""")
 def conv_search(t: Views):
-    return cv.search(convs(t), t.messages, " SCH ").select("conversation_id")
+    terms = asked(t).select("request_id", "user_id", F.col("chat_ws").alias("workspace_id"), F.col("said_term").alias("term"))
+    return cv.hits(terms, convs(t), t.messages)
 
 
 @query("conv_export", r"""
@@ -398,9 +436,12 @@ def turn_pairs(t: Views):
 
 
 @query("conv_recent", f"""
-SELECT conversation_id, title, strftime(updated_at, {FMT}) AS updated_at FROM v_convs WHERE user_id = 'u3' ORDER BY v_convs.updated_at DESC, conversation_id LIMIT 50""")
+SELECT s.user_id AS scope_user_id, s.workspace_id AS scope_workspace_id, conversation_id, title, strftime(updated_at, {FMT}) AS updated_at
+FROM v_convs c JOIN v_scopes s ON (s.user_id IS NULL OR s.user_id = c.user_id) AND (s.workspace_id IS NULL OR s.workspace_id = c.workspace_id)
+QUALIFY row_number() OVER (PARTITION BY s.user_id, s.workspace_id ORDER BY c.updated_at DESC, conversation_id) <= 50""")
 def conv_recent(t: Views):
-    return cv.recent(convs(t), "u3").select("conversation_id", "title", stamp("updated_at").alias("updated_at"))
+    listed = cv.recent_in(scopes(t), convs(t))
+    return listed.select("scope_user_id", "scope_workspace_id", "conversation_id", "title", stamp("updated_at").alias("updated_at"))
 
 
 @query("conv_pinned", r"""
