@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from lodestone.operators.sequences import newest
+
 # Bucket bounds of the latency histogram.
 BOUNDS = [0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0]
 
@@ -37,8 +39,7 @@ def latency_summary(points: DataFrame, key: str, value: str, order: list[str], k
     values are ranked. So a key with very many observations is spread over its steps.
     """
     if kept is not None:
-        newest = W.partitionBy(key).orderBy(*[F.desc(c) for c in order])
-        points = points.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= kept)
+        points = newest(points.select(*dict.fromkeys([key, value, *order])), [key], order, kept)
     own = points.select(key, F.col(value).alias("_v"), F.floor(F.col(value) / step).alias("_step")).where("_v IS NOT NULL")
     whole = own.groupBy(key).agg(
         F.count("*").alias("count"), F.min("_v").alias("min"), F.max("_v").alias("max"), F.round(F.avg("_v"), 6).alias("avg")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import understand as un
 from lodestone.functions import vectors as vec
-from lodestone.operators import admission, cache, metrics, structured
+from lodestone.operators import admission, cache, metrics, sequences, structured
 from lodestone.plans.registry import query, view
 from lodestone.plans.views import Views, cosine_sql, sparse_sql, stamp
 from lodestone.sources import parsing
@@ -159,6 +159,25 @@ def latency_summary(t: Views):
     return metrics.latency_summary(t.requests, "path", "latency", ["ts", "event_id"])
 
 
+@query("latency_recent", r"""
+SELECT status, count(*) AS count, min(latency) AS min, max(latency) AS max, round(avg(latency), 6) AS avg,
+  list_sort(list(latency))[count(*) // 2 + 1] AS p50,
+  CASE WHEN count(*) >= 20 THEN list_sort(list(latency))[CAST(floor(count(*) * 0.95::DOUBLE) AS BIGINT) + 1] ELSE max(latency) END AS p95,
+  CASE WHEN count(*) >= 100 THEN list_sort(list(latency))[CAST(floor(count(*) * 0.99::DOUBLE) AS BIGINT) + 1] ELSE max(latency) END AS p99
+FROM (SELECT * FROM v_requests QUALIFY row_number() OVER (PARTITION BY status ORDER BY ts DESC, event_id DESC) <= 5000)
+WHERE latency IS NOT NULL GROUP BY status""")
+def latency_recent(t: Views):
+    """The last 5,000 requests of each outcome."""
+    return metrics.latency_summary(t.requests, "status", "latency", ["ts", "event_id"], kept=5000)
+
+
+@query("requests_recent", r"""
+SELECT client, path, event_id FROM v_requests QUALIFY row_number() OVER (PARTITION BY path ORDER BY ts DESC, event_id DESC) <= 2000""")
+def requests_recent(t: Views):
+    """The last 2,000 requests of each path."""
+    return sequences.newest(t.requests, ["path"], ["ts", "event_id"], 2000).select("client", "path", "event_id")
+
+
 view("v_buckets", "\nUNION ALL ".join(
     f"SELECT path, '{b}' AS le, count(*) FILTER (latency / 10 <= {b}) AS count FROM v_requests GROUP BY path" for b in metrics.BOUNDS
 ) + "\nUNION ALL SELECT path, '+Inf', count(*) FROM v_requests GROUP BY path")
