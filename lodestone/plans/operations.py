@@ -9,7 +9,7 @@ from lodestone.functions import vectors as vec
 from lodestone.operators import admission, cache, metrics, sequences, structured
 from lodestone.plans.registry import query, view
 from lodestone.plans.views import Views, cosine_sql, sparse_sql, stamp
-from lodestone.sources import parsing
+from lodestone.sources import html, tables as st
 
 HASH = r"sha256(lower(regexp_replace({0}, '^\s+|\s+$', '', 'g')))[:16]"
 TTL = "CASE WHEN " + " OR ".join(f"contains(lower({{0}}), '{p}')" for p in un.TIME_PHRASES) + " THEN 3600 ELSE 86400 END"
@@ -351,6 +351,24 @@ def nearest_caption(t: Views):
     return structured.nearest_caption(images, blocks)
 
 
+def parsed(t: Views):
+    return html.parse(t.spread(t.table("pages"), "page_id"), "page_id", "html")
+
+
 @query("parse_pages")
 def parse_pages(t: Views):
-    return parsing.extract_pages(t.spread(t.table("pages"), "page_id"), "page_id", "html", parsing.HTML_CHAIN)
+    """One row for each page, failed ones included."""
+    return parsed(t)
+
+
+@query("parse_stats", r"""
+SELECT count(*) AS total_documents, count(*) FILTER (good) AS successes, count(*) FILTER (NOT good) AS failures,
+  round(count(*) FILTER (good) * 100.0 / count(*), 1) AS success_rate, count(*) FILTER (good) AS total_pages,
+  round(count(*) FILTER (good) / (sum(n) / 1000), 1) AS pages_per_sec
+FROM (SELECT coalesce(regexp_matches(regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|<script.*?</script>|<style.*?</style>|<nav.*?</nav>|<head.*?</head>', '', 'g'),
+        '<[^>]*>', '', 'g'), '\S'), false) AS good, coalesce(length(html), 0) AS n FROM pages)""")
+def parse_stats(t: Views):
+    """Totals of the parse job. Nothing in the tables says how long a page took; its length in characters stands for milliseconds."""
+    took = t.table("pages").select("page_id", F.coalesce(F.length("html"), F.lit(0)).alias("parse_ms"))
+    pages = F.coalesce("page_number", F.lit(0)).alias("pages")
+    return st.parse_stats(parsed(t).select("page_id", pages).join(took, "page_id"))

@@ -342,16 +342,6 @@ def stuck_sweep(t: Views):
     return tenancy.sweep_stuck(docs, "2024-01-01 08:00:00").drop("updated_at")
 
 
-@query("parse_stats", r"""
-SELECT count(*) AS total_documents, count(*) FILTER (content <> '') AS successes, count(*) FILTER (content = '') AS failures,
-  round(count(*) FILTER (content <> '') * 100.0 / count(*), 1) AS success_rate, CAST(sum(CASE WHEN content <> '' THEN len(string_split(content, chr(10))) ELSE 0 END) AS BIGINT) AS total_pages,
-  round(sum(CASE WHEN content <> '' THEN len(string_split(content, chr(10))) ELSE 0 END) / (sum(file_size) / 1000), 1) AS pages_per_sec FROM v_docs""")
-def parse_stats(t: Views):
-    """Lines play the pages; a character takes a millisecond."""
-    pages = F.when(F.col("content") != "", F.size(F.split("content", "\n"))).otherwise(0)
-    return st.parse_stats(t.docs.select("document_id", pages.alias("pages"), F.col("file_size").alias("parse_ms")))
-
-
 # --- conversations -----------------------------------------------------------------------
 
 view("v_titles", r"""

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
 from typing import Callable, Iterator
 
 import pandas as pd
@@ -54,66 +53,36 @@ def text_pages(files: DataFrame) -> DataFrame:
     ).where("content <> ''")
 
 
-class _Text(HTMLParser):
-    """Visible text of one element, block by block."""
-
-    SKIP = {"script", "style", "nav", "head"}
-    BLOCK = {"p", "div", "h1", "h2", "h3", "h4", "li", "br", "article", "section", "tr"}
-
-    def __init__(self, inside: str | None):
-        super().__init__()
-        self.inside, self.depth, self.skip, self.parts = inside, 0 if inside else 1, 0, []
-
-    def handle_starttag(self, tag, attrs):
-        self.depth += tag == self.inside
-        self.skip += tag in self.SKIP
-        if tag in self.BLOCK:
-            self.parts.append("\n")
-
-    def handle_endtag(self, tag):
-        self.depth -= tag == self.inside
-        self.skip -= tag in self.SKIP
-        if tag in self.BLOCK:
-            self.parts.append("\n")
-
-    def handle_data(self, data):
-        if self.depth > 0 and self.skip <= 0:
-            self.parts.append(data)
-
-
-def html_parser(inside: str | None) -> Parser:
-    def parse(raw) -> list[str]:
-        reader = _Text(inside)
-        reader.feed(raw or "")
-        lines = (" ".join(line.split()) for line in "".join(reader.parts).split("\n"))
-        return ["\n".join(line for line in lines if line)]
-
-    return parse
-
-
-HTML_CHAIN: list[tuple[str, Parser]] = [("article", html_parser("article")), ("body", html_parser("body")), ("all", html_parser(None))]
-
-
-def extract_pages(raw: DataFrame, key: str, value: str, parsers: list[tuple[str, Parser]]) -> DataFrame:
+def extract_pages(raw: DataFrame, key: str, value: str, parsers: list[tuple[str, Parser]], failures: bool = False) -> DataFrame:
     """Run a chain of parsers over raw values: (key, page_number, content, parser).
 
     The first parser that returns any text wins; one that fails hands over to the next. Blank
-    pages are left out, page numbers stay. A value no parser can read yields no rows.
+    pages are left out, page numbers stay. A value no parser can read yields no rows, or with `failures` one
+    row that has only the column error: what each parser raised, or that it found no text.
     """
+    columns = [key, "page_number", "content", "parser"] + ["error"] * failures
     kind = raw.schema[key].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for k, v in zip(frame[key], frame[value]):
+                problems = []
                 for name, parse in parsers:
                     try:
                         pages = [(i, p.strip()) for i, p in enumerate(parse(v), 1) if p and p.strip()]
-                    except Exception:  # noqa: BLE001 - any failure means: try the next parser
+                        problems.append(f"{name}: no text")
+                    except Exception as e:  # noqa: BLE001 - any failure means: try the next parser
                         pages = []
+                        problems.append(f"{name}: {type(e).__name__}: {e}")
                     if pages:
-                        rows += [(k, i, p, name) for i, p in pages]
+                        rows += [(k, i, p, name, None)[: len(columns)] for i, p in pages]
                         break
-            yield pd.DataFrame(rows, columns=[key, "page_number", "content", "parser"])
-
-    return raw.select(key, value).mapInPandas(run, f"{key} {kind}, page_number int, content string, parser string")
+                else:
+                    if failures:
+                        rows.append((k, None, None, None, "; ".join(problems)))
+            out = pd.DataFrame(rows, columns=columns)
+            yield out.astype({"page_number": "Int32"})
+
+    schema = f"{key} {kind}, page_number int, content string, parser string" + ", error string" * failures
+    return raw.select(key, value).mapInPandas(run, schema)
