@@ -284,19 +284,26 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float, texts: int)
     return found
 
 
+def _near_prints(nodes: DataFrame) -> DataFrame:
+    """a, b: texts to compare by their fingerprints, links by segment popcounts between the first text of each, and this one with the others."""
+    heads = store(nodes.groupBy("fp").agg(F.min("n").alias("m")), "heads")
+    near = links(heads.select("fp")).join(heads.select(F.col("fp").alias("a"), F.col("m").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("m").alias("y")), "b")
+    same = nodes.join(heads, "fp").filter("n <> m").select(F.col("m").alias("a"), F.col("n").alias("b"))
+    out = _released(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).unionByName(same).distinct(), "pairs")
+    discard(heads)
+    return out
+
+
 def _linked(docs: DataFrame, nodes: DataFrame, text_col: str, words: int, similarity: float) -> DataFrame | None:
-    """node, root: components of all pairs of texts that are similar, exactly."""
-    shared = _released(_shared(nodes), "shared")
-    total, texts, links_, roots, rows = shared.count(), nodes.count(), None, None, shared
-    for turn in range(STARS + 1):
-        before, rows = rows, _released(_rooted(rows.drop("root"), roots), "open")
-        discard(before)
-        own = rows.groupBy("s", "root").agg(F.count("*").cast("double").alias("c")).groupBy("s").agg((F.pow(F.sum("c"), F.lit(2)) - F.sum(F.col("c") * F.col("c"))).alias("p"))
-        left = own.agg(F.coalesce(F.sum("p"), F.lit(0.0))).first()[0] / 2
-        if not left:
-            break
-        last = turn == STARS or turn and (left <= PAIRS_A_ROW * total or not found)
-        pairs = store(_across(rows, similarity) if last else _star(rows, turn, similarity), "pairs")
+    """node, root: components of all pairs of texts that are similar, exactly.
+
+    Links of fingerprints come first; shared first shingles then give the similar pairs that these do not connect.
+    """
+    texts, links_, roots = nodes.count(), None, None
+
+    def compared(pairs: DataFrame) -> int:
+        """Verify the pairs, add the similar ones to the links and renew the components."""
+        nonlocal links_, roots
         # Only sets that this turn compares: kept for all turns they would be most of the corpus once more.
         wanted = pairs.select(F.col("a").alias("n")).union(pairs.select("b")).distinct().join(nodes.select("n", "t"), "n").select("n", "t.t1", "t.t2")
         sets = _released(_sets(docs, wanted, text_col, words), "sets")
@@ -309,6 +316,20 @@ def _linked(docs: DataFrame, nodes: DataFrame, text_col: str, words: int, simila
             if roots is not None:
                 discard(roots)
             roots = store(components(links_), "roots")
+        return found
+
+    compared(_near_prints(nodes))
+    rows = _released(_shared(nodes), "shared")
+    total, found = rows.count(), 0
+    for turn in range(STARS + 1):
+        before, rows = rows, _released(_rooted(rows.drop("root"), roots), "open")
+        discard(before)
+        own = rows.groupBy("s", "root").agg(F.count("*").cast("double").alias("c")).groupBy("s").agg((F.pow(F.sum("c"), F.lit(2)) - F.sum(F.col("c") * F.col("c"))).alias("p"))
+        left = own.agg(F.coalesce(F.sum("p"), F.lit(0.0))).first()[0] / 2
+        if not left:
+            break
+        last = turn == STARS or turn and (left <= PAIRS_A_ROW * total or not found)
+        found = compared(store(_across(rows, similarity) if last else _star(rows, turn, similarity), "pairs"))
         if last:
             break
     return roots
@@ -317,9 +338,10 @@ def _linked(docs: DataFrame, nodes: DataFrame, text_col: str, words: int, simila
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """`docs` with one row, that of the smallest id, of each group of exact or near copies.
 
-    Near copies are texts linked by a Jaccard similarity of their shingle sets of `similarity` at least. Every such pair
+    Near copies are texts linked by a Jaccard similarity of their shingle sets of `similarity` at least. Texts whose
+    SimHash fingerprints link are compared first, which connects most copies. Every similar pair moreover
     shares one of the first shingles of both sets in any fixed order, so a join by these finds all; the order is that of
-    frequency in a sample, which only saves work. First each text is compared with one of those it meets, for a few
+    frequency in a sample, which only saves work. Then each text is compared with one of those it meets, for a few
     rounds, as most copies are connected so; then all pairs that still lie between components. All are verified on
     the full sets. Null text counts as empty; empty texts are copies of each other.
     """
@@ -329,17 +351,18 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         for batch in slices(batches, 500):
             out = []
             for t in batch.column(3):
-                kinds = np.unique(shingle_hashes(t.as_py(), words))
-                out.append((xxhash.xxh3_128_hexdigest(kinds.astype("<u8").tobytes()), len(kinds), _prefix(kinds, frequent, counts, similarity).view(np.int64)))
-            columns = [pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 3, (pa.string(), pa.int64(), pa.list_(pa.int64())))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=["id", "t1", "t2", "u", "k", "firsts"])
+                hashes = shingle_hashes(t.as_py(), words)
+                kinds = np.unique(hashes)
+                out.append((majority(hashes), xxhash.xxh3_128_hexdigest(kinds.astype("<u8").tobytes()), len(kinds), _prefix(kinds, frequent, counts, similarity).view(np.int64)))
+            columns = [pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 4, (pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int64())))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=["id", "t1", "t2", "fp", "u", "k", "firsts"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     own = docs.select(F.col(id_col).alias("id"), *_text_key(text_col), F.col(text_col).alias("text"))
-    marked = store(map_arrow(own, run, f"id {kind}, t1 long, t2 long, u string, k long, firsts array<long>"), "marked")
-    nodes = marked.groupBy("u").agg(F.min("k").alias("k"), F.min(F.struct("t1", "t2")).alias("t"), F.first("firsts").alias("firsts"))
+    marked = store(map_arrow(own, run, f"id {kind}, t1 long, t2 long, fp long, u string, k long, firsts array<long>"), "marked")
+    nodes = marked.groupBy("u").agg(F.min("k").alias("k"), F.min(F.struct("t1", "t2")).alias("t"), F.min("fp").alias("fp"), F.first("firsts").alias("firsts"))
     nodes = _released(nodes.withColumn("n", F.monotonically_increasing_id()), "nodes")
-    made, marked = marked, store(marked.drop("firsts", "k"), "marked")
+    made, marked = marked, store(marked.drop("firsts", "k", "fp"), "marked")
     discard(made)
     roots = _linked(docs, nodes, text_col, words, similarity)
     named = nodes.select("u", F.col("n").alias("root"))

@@ -151,6 +151,15 @@ def kept_and_wanted(spark, texts):
     return sorted(r.doc_id for r in simhash.drop_near_copies(df).collect()), sorted(set(brute_groups(sets, pairs).values())), sets
 
 
+def test_near_copies_meet_by_their_fingerprints_first(spark):
+    prints = [0, 3, 7, 7, 7, 1 << 40, 255]
+    nodes = spark.createDataFrame(list(enumerate(prints)), "n long, fp long")
+    got = {(r.a, r.b) for r in simhash._near_prints(nodes).collect()}
+    heads = [(i, x) for i, x in enumerate(prints) if prints.index(x) == i]
+    near = {(i, j) for i, x in heads for j, y in heads if i < j and (x ^ y).bit_count() <= 2}
+    assert got == near | {(2, 3), (2, 4)} and (0, 1) in got and (1, 2) in got
+
+
 def test_near_copies_of_every_band_are_found(spark):
     rng, out = random.Random(11), []
     for edits in range(1, 12):
