@@ -264,14 +264,82 @@ def _star(rows: DataFrame, turn: int, similarity: float) -> DataFrame:
     return met.groupBy("n", "m").agg(F.count("*").alias("c")).groupBy("n").agg(F.max(F.struct("c", "m")).alias("best")).select(F.col("n").alias("a"), F.col("best.m").alias("b"))
 
 
-def _across(rows: DataFrame, similarity: float) -> DataFrame:
-    """a, b: all pairs of texts of different components that share a first shingle and can be so similar."""
-    kinds = rows.select("s", "root").distinct()
-    across = kinds.withColumnRenamed("root", "rx").join(kinds.withColumnRenamed("root", "ry"), "s").filter("rx < ry")
-    x = rows.select("s", F.col("root").alias("rx"), F.col("n").alias("x"), F.col("k").alias("kx"), F.col("i").alias("ix"))
-    y = rows.select("s", F.col("root").alias("ry"), F.col("n").alias("y"), F.col("k").alias("ky"), F.col("i").alias("iy"))
-    met = across.join(x, ["s", "rx"]).join(y, ["s", "ry"]).filter(_possible(similarity))
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+#: Bits of a text's sketch, and texts of a shingle that are compared with each other in one task.
+SKETCH_BITS, BLOCK = 1024, 1000
+
+
+def _sketch(kinds: np.ndarray) -> bytes:
+    """Bits set where an odd number of shingles fall: sets that differ in d shingles have sketches that differ in d bits at most."""
+    odd = np.bincount((kinds & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) % 2
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _near(x: np.ndarray, y: np.ndarray, roots: np.ndarray, k: np.ndarray, i: np.ndarray, sketches: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of the rows x and y whose texts lie in different components and can be so similar by places, sizes and sketches."""
+    share = similarity / (1 + similarity)
+    total = k[x][:, None] + k[y][None, :]
+    rest = np.minimum((k - i)[x][:, None], (k - i)[y][None, :])
+    a, b = np.nonzero((roots[x][:, None] != roots[y][None, :]) & (rest >= share * total - 1e-6))
+    a, b = x[a], y[b]
+    kept = [np.empty(0, bool)]
+    for j in range(0, len(a), 100_000):
+        u, v = a[j : j + 100_000], b[j : j + 100_000]
+        apart = np.bitwise_count(sketches[u] ^ sketches[v]).sum(axis=1, dtype=np.int64)
+        kept.append(apart <= (1 - 2 * share) * (k[u] + k[v]) + 1e-6)
+    kept = np.concatenate(kept)
+    return a[kept], b[kept]
+
+
+def _across(rows: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """a, b: all pairs of texts of different components that share a first shingle and can be so similar.
+
+    The texts of a shingle meet in a task and only pairs that pass become rows. Where a shingle has many texts they are dealt into
+    blocks, and every two blocks meet in a task of their own, so that what a task holds is bounded.
+    """
+    blocks = rows.groupBy("s").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    own = F.pmod(F.xxhash64("n"), F.col("blocks"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    dealt = rows.join(blocks, "s").withColumn("own", own).withColumn("other", other).join(nodes.select("n", "sketch"), "n")
+    dealt = dealt.select("s", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "n", "root", "k", "i", "sketch")
+
+    def meet(batches):
+        held = None
+
+        def pairs_of(group):
+            """Pairs of whole groups of rows, in which s, low and high are sorted."""
+            s, low, high, own, n, root, k, i = (group.column(c).to_numpy() for c in ("s", "low", "high", "own", "n", "root", "k", "i"))
+            sketches = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint64).reshape(len(s), -1)
+            starts = np.flatnonzero(np.concatenate([[True], (s[1:] != s[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])]))
+            found = []
+            for first, end in zip(starts.tolist(), [*starts[1:].tolist(), len(s)]):
+                here = np.arange(first, end)
+                if low[first] != high[first]:
+                    x, y = here[own[here] == low[first]], here[own[here] == high[first]]
+                else:
+                    x = y = here
+                for j in range(0, len(x), BLOCK):
+                    a, b = _near(x[j : j + BLOCK], y, root, k, i, sketches, similarity)
+                    found.append(np.stack([n[a], n[b]]))
+            both = np.sort(np.concatenate(found, axis=1), axis=0) if found else np.empty((2, 0), np.int64)
+            return np.unique(both, axis=1)
+
+        def out(group):
+            both = pairs_of(group)
+            for j in range(0, both.shape[1], 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[j : j + 100_000]) for c in both], names=["a", "b"])
+
+        for batch in batches:
+            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            keys = [held.column(c).to_numpy() for c in ("s", "low", "high")]
+            cut = int(np.flatnonzero(np.logical_or.reduce([c != c[-1] for c in keys]))[-1]) + 1 if any((c != c[-1]).any() for c in keys) else 0
+            if cut:
+                yield from out(held.slice(0, cut))
+                held = held.slice(cut)
+        if held is not None and held.num_rows:
+            yield from out(held)
+
+    sorted_ = dealt.repartition("s", "low", "high").sortWithinPartitions("s", "low", "high")
+    return map_arrow(sorted_, meet, "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float, texts: int) -> DataFrame:
@@ -329,7 +397,7 @@ def _linked(docs: DataFrame, nodes: DataFrame, text_col: str, words: int, simila
         if not left:
             break
         last = turn == STARS or turn and (left <= PAIRS_A_ROW * total or not found)
-        found = compared(store(_across(rows, similarity) if last else _star(rows, turn, similarity), "pairs"))
+        found = compared(store(_across(rows, nodes, similarity) if last else _star(rows, turn, similarity), "pairs"))
         if last:
             break
     return roots
@@ -353,16 +421,16 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             for t in batch.column(3):
                 hashes = shingle_hashes(t.as_py(), words)
                 kinds = np.unique(hashes)
-                out.append((majority(hashes), xxhash.xxh3_128_hexdigest(kinds.astype("<u8").tobytes()), len(kinds), _prefix(kinds, frequent, counts, similarity).view(np.int64)))
-            columns = [pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 4, (pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int64())))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=["id", "t1", "t2", "fp", "u", "k", "firsts"])
+                out.append((majority(hashes), xxhash.xxh3_128_hexdigest(kinds.astype("<u8").tobytes()), len(kinds), _prefix(kinds, frequent, counts, similarity).view(np.int64), _sketch(kinds)))
+            columns = [pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 5, (pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=["id", "t1", "t2", "fp", "u", "k", "firsts", "sketch"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     own = docs.select(F.col(id_col).alias("id"), *_text_key(text_col), F.col(text_col).alias("text"))
-    marked = store(map_arrow(own, run, f"id {kind}, t1 long, t2 long, fp long, u string, k long, firsts array<long>"), "marked")
-    nodes = marked.groupBy("u").agg(F.min("k").alias("k"), F.min(F.struct("t1", "t2")).alias("t"), F.min("fp").alias("fp"), F.first("firsts").alias("firsts"))
+    marked = store(map_arrow(own, run, f"id {kind}, t1 long, t2 long, fp long, u string, k long, firsts array<long>, sketch binary"), "marked")
+    nodes = marked.groupBy("u").agg(F.min("k").alias("k"), F.min(F.struct("t1", "t2")).alias("t"), F.min("fp").alias("fp"), F.first("firsts").alias("firsts"), F.first("sketch").alias("sketch"))
     nodes = _released(nodes.withColumn("n", F.monotonically_increasing_id()), "nodes")
-    made, marked = marked, store(marked.drop("firsts", "k", "fp"), "marked")
+    made, marked = marked, store(marked.drop("firsts", "k", "fp", "sketch"), "marked")
     discard(made)
     roots = _linked(docs, nodes, text_col, words, similarity)
     named = nodes.select("u", F.col("n").alias("root"))

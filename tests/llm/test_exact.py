@@ -332,3 +332,24 @@ def test_neighbours_reach_brute_force(spark):
     assert [v for v, _ in got[5]] == list(range(700, 710))
     few = df.filter("id < 4")
     assert neighbours.nearest(few, few).count() == 12 and neighbours.nearest(few.limit(0), few.limit(0)).count() == 0
+
+
+def test_pairs_of_a_frequent_shingle_are_found_in_blocks_and_only_near_ones_become_rows(spark, monkeypatch):
+    """Texts that share a first shingle but little else: the join of their components made a row of each pair."""
+    monkeypatch.setattr(simhash, "BLOCK", 7)
+    rng = np.random.default_rng(4)
+    shared = rng.integers(0, 1 << 63, 60).astype(np.uint64)
+    sets = []
+    for j in range(40):
+        own = rng.integers(0, 1 << 63, 60).astype(np.uint64)
+        sets.append(np.concatenate([shared, own]))
+        if j % 4 == 0:
+            sets.append(np.concatenate([shared, own[:55], rng.integers(0, 1 << 63, 5).astype(np.uint64)]))
+    rows = [(n, len(x), 0, 77, n) for n, x in enumerate(sets)] + [(n, len(x), 1, 78, n) for n, x in enumerate(sets[:3])]
+    made = spark.createDataFrame(rows, "n long, k long, i long, s long, root long")
+    nodes = spark.createDataFrame([(n, bytearray(simhash._sketch(x))) for n, x in enumerate(sets)], "n long, sketch binary")
+    found = sorted(tuple(r) for r in simhash._across(made, nodes, 0.8).collect())
+    similar = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if len(set(sets[a]) & set(sets[b])) >= 0.8 * len(set(sets[a]) | set(sets[b]))}
+    assert len(similar) == 10 and similar <= set(found) and len(found) == len(set(found)) < 30, found
+    joined = made.withColumn("root", F.lit(0).cast("long"))
+    assert simhash._across(joined, nodes, 0.8).count() == 0
