@@ -367,11 +367,11 @@ def _linked(docs: DataFrame, nodes: DataFrame, text_col: str, words: int, simila
 
     Links of fingerprints come first; shared first shingles then give the similar pairs that these do not connect.
     """
-    texts, links_, roots = nodes.count(), None, None
+    texts, roots = nodes.count(), None
 
     def compared(pairs: DataFrame) -> int:
-        """Verify the pairs, add the similar ones to the links and renew the components."""
-        nonlocal links_, roots
+        """Verify the pairs and renew the components by the similar ones."""
+        nonlocal roots
         # Only sets that this turn compares: kept for all turns they would be most of the corpus once more.
         wanted = pairs.select(F.col("a").alias("n")).union(pairs.select("b")).distinct().join(nodes.select("n", "t"), "n").select("n", "t.t1", "t.t2")
         sets = _released(_sets(docs, wanted, text_col, words), "sets")
@@ -379,11 +379,13 @@ def _linked(docs: DataFrame, nodes: DataFrame, text_col: str, words: int, simila
         discard(sets)
         discard(pairs)
         found = new.count()
-        links_ = new if links_ is None else links_.unionByName(new)
         if found:
-            if roots is not None:
-                discard(roots)
+            # A text and its root stand for all links of the turns before.
+            before, links_ = roots, new if roots is None else new.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
             roots = store(components(links_), "roots")
+            if before is not None:
+                discard(before)
+        discard(new)
         return found
 
     compared(_near_prints(nodes))

@@ -353,3 +353,20 @@ def test_pairs_of_a_frequent_shingle_are_found_in_blocks_and_only_near_ones_beco
     assert len(similar) == 10 and similar <= set(found) and len(found) == len(set(found)) < 30, found
     joined = made.withColumn("root", F.lit(0).cast("long"))
     assert simhash._across(joined, nodes, 0.8).count() == 0
+
+
+def test_few_links_need_no_rounds(spark, monkeypatch):
+    """Each round of stars writes a table and shuffles six times, whatever the number of links: a chain of 300 links took many."""
+    made, store = [], components.store
+    monkeypatch.setattr(components, "store", lambda df, name: made.append(name) or store(df, name))
+    rng = np.random.default_rng(3)
+    edges = [(int(i), int(i) + 1) for i in rng.permutation(300)] + [(int(a), int(b)) for a, b in rng.integers(1000, 1400, (300, 2))]
+    want = brute_groups({x for e in edges for x in e}, edges)
+    linked = {x for a, b in edges if a != b for x in (a, b)}
+    frame = spark.createDataFrame(edges, "a long, b long").repartition(7)
+    assert {r.node: r.root for r in components.components(frame).collect()} == {n: r for n, r in want.items() if n in linked}
+    assert len(made) == 2
+    for most in (40, 7):
+        monkeypatch.setattr(components, "TASK_LINKS", most)
+        got = components.components(frame).collect()
+        assert len(got) == len(linked) and {r.node: r.root for r in got} == {n: r for n, r in want.items() if n in linked}
