@@ -98,6 +98,8 @@ def links(fps: DataFrame, distance: int = 2, groups: tuple[tuple[int, ...], ...]
 
     Each group lists the segment sizes of a stretch of bits; of g groups, one has at most distance // g differing bits,
     so that points need to meet in one group only. A pair that meets in several groups appears several times.
+
+    The planner takes the probes for as large as the points they are exploded from and would broadcast them; the hint keeps both sides dealt by cell.
     """
     radius = distance // len(groups)
     homes, probes, start = [], [], 0
@@ -112,7 +114,7 @@ def links(fps: DataFrame, distance: int = 2, groups: tuple[tuple[int, ...], ...]
     for h, p in zip(homes[1:], probes[1:]):
         home, probe = home.unionByName(h), probe.unionByName(p)
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
-    return probe.join(home, ["g", "cell"]).filter(near & (F.col("a") != F.col("b")) & (~F.col("same") | (F.col("a") < F.col("b")))).select("a", "b")
+    return probe.join(home.hint("merge"), ["g", "cell"]).filter(near & (F.col("a") != F.col("b")) & (~F.col("same") | (F.col("a") < F.col("b")))).select("a", "b")
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 2) -> DataFrame:

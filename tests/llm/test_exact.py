@@ -124,6 +124,14 @@ def test_popcount_grid_finds_all_links(spark):
         assert got == {tuple(sorted((a, b))) for a in signed for b in signed if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= distance}
 
 
+def test_probes_of_the_grid_are_never_broadcast(spark):
+    fps = spark.range(1000).select(F.xxhash64("id").alias("fp"))
+    found = simhash.links(fps)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    found.collect()
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, i) for i in range(101, 140)] + [(139, 200), (50, 49), (49, 50), (7, 7)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
