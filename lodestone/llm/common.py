@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lodestone.session import checkpoint_dir, ship_package
+from lodestone.session import ship_package, store as store
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BATCH_ROWS = "1000"
@@ -20,14 +19,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` below the shared checkpoint folder and read it back: lineage ends in files every executor can see."""
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/lodestone/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def discard(df: DataFrame) -> None:
     """Delete a table that `store` wrote and nothing reads any more."""
     spark = df.sparkSession

@@ -146,3 +146,25 @@ def test_texts_stay_where_they_are_when_parts_are_made(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "Join" not in _plan(Views(spark, "/root/testdata/sf0.001").corpus)
+
+
+def test_merges_search_once(spark, tmp_path):
+    """The result of a merge reads what was found and holds no search, so none runs again in each of its branches."""
+    index.write(_some_chunks(spark), str(tmp_path))
+    ix = index.read(spark, str(tmp_path)).without_images()
+    q = spark.createDataFrame([(1, "red apple"), (2, "plum")], "query_id long, text string")
+    first = search._plain(search.semantic(q, ix, 3), "SEMANTIC").withColumn("score", F.when(F.col("query_id") == 1, 0.6).otherwise(0.001))
+    more = spark.createDataFrame([(1, 0, "green apple"), (2, 0, "red apples and pears grow in rows of green trees here")], "query_id long, n int, text string")
+    for merge, label in ((search.hyde_merge, "HYDE"), (lambda *a: search.multi_query_merge(*a, use_multi_granularity=False), "MULTI_QUERY")):
+        found = merge(q, first, more, ix, 3)
+        assert "MapInArrow" not in _plan(found) and label in {r.strategy_used for r in found.collect()}
+
+
+def test_any_term_ranks_copies_once(spark, tmp_path):
+    chunks = _some_chunks(spark).withColumn("caption", F.lit(None).cast("string"))
+    index.write(chunks, str(tmp_path))
+    q = spark.createDataFrame([(1, "red apple"), (2, "tree plum"), (3, "red apple"), (4, "fig")], "query_id long, text string")
+    found = search.keyword(q, index.read(spark, str(tmp_path)), 50, all_terms=False)
+    want = lexical.bm25(q, chunks, "chunk_id", F.col("content"), 50)
+    rows = lambda df: sorted((r.query_id, r.chunk_id, r.score, r["rank"]) for r in df.collect())
+    assert rows(found) == rows(want) and len(rows(want)) == 150
